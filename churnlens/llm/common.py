@@ -63,6 +63,7 @@ def map_texts(df: DataFrame, fn, schema: str, text_col: str = "text") -> DataFra
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType, _parse_datatype_string
 
+    ship(df.sparkSession)
     carried = [c for c in df.columns if c != text_col]
     made = _parse_datatype_string(schema)
     out = StructType([*(df.schema[c] for c in carried), *made.fields])
@@ -93,3 +94,23 @@ def slices(texts, most: int = 1 << 22):
         size += n
     if at < len(texts):
         yield at, len(texts)
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package wherever they run: sends it along once per application."""
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_churnlens_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    target = os.path.join(tempfile.mkdtemp(prefix="churnlens-"), "churnlens_package.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    sc.addPyFile(target)
+    sc._churnlens_shipped = True

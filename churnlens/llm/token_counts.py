@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import ByteCounts, made
-from .common import scratch_path, stored
+from .common import scratch_path, ship, stored
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 
@@ -85,6 +85,7 @@ def token_counts(
     ``cache``: a Parquet folder that all executors share; without one it lasts for this call.
     """
     spark = docs.sparkSession
+    ship(spark)
     version = tokenizer_digest(tokenizer)
     cache = cache or scratch_path(spark, "token-cache")
     text = F.coalesce(F.col(text_col), F.lit(""))
