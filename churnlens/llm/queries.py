@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, exact_dedup, html_text, mixing, near_dedup, packing, quality, secret_scan, token_counts
+from . import embedding_dedup, exact_dedup, html_text, license_scan, mixing, near_dedup, packing, quality, secret_scan, token_counts
 from .common import table
 
 
@@ -44,6 +44,10 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_texts(table(spark, sf_dir, "pages"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.quality_scores(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
