@@ -12,6 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.storage import ship
+
 #: ASCII white space, the only separators of words: space, and 0x09 to 0x0D.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 #: The same as a regular expression class body that Java, Python and DuckDB read alike.
@@ -94,23 +96,3 @@ def slices(texts, most: int = 1 << 22):
         size += n
     if at < len(texts):
         yield at, len(texts)
-
-
-def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package wherever they run: sends it along once per application."""
-    import os
-    import zipfile
-
-    sc = spark.sparkContext
-    if getattr(sc, "_churnlens_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    target = os.path.join(tempfile.mkdtemp(prefix="churnlens-"), "churnlens_package.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for folder, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
-    sc.addPyFile(target)
-    sc._churnlens_shipped = True
