@@ -2,6 +2,63 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..config import Training
+from ..functions import source_code
+from ..operators import features, history, model, rules
+from ..sources import adapter
+from . import payload
+
+#: The catalogue's training: fewer rounds than the default, same method.
+CONFIG = Training(max_rounds=20)
+
+
+def training_rows(spark, sf) -> DataFrame:
+    touched = adapter.touches(spark, sf)
+    rows = history.running_history(touched).join(adapter.complexity(spark, sf), "l_partkey", "left")
+    labels = history.labelled(adapter.commits(spark, sf), history.inducing(touched)).select("sha", "seq", "label")
+    return features.feature_vector(rows).join(labels, "sha")
+
+
+def gbt_scores(spark, sf):
+    """Probabilities of the newest quarter by a model trained on the rest."""
+    from ..operators.metrics import time_split
+    from .storage import cut
+
+    split = cut(time_split(training_rows(spark, sf), CONFIG.train_fraction, "seq", "sha"))
+    _, trees = model.train(split.where("is_train").drop("is_train"), CONFIG)
+    return model.as_scores(model.predict(split.where("NOT is_train").drop("is_train"), trees)).select("sha", "label", "probability", "score", "band")
+
+
+def shap_topk(spark, sf):
+    from .storage import cut
+
+    rows = cut(training_rows(spark, sf))
+    trees = model.trees_of(spark, model.fit(rows, 10, CONFIG))
+    return model.contributions(rows, trees)
+
+
+def _sources(spark, sf):
+    text = F.expr("""concat('import os, pkg', p_partkey % 7, '.m', p_partkey % 5, '\nfrom . import sibling', p_partkey % 3, '\nfrom ..top import *\n',
+      if(p_partkey % 13 = 0, 'def broken(:', 'def f(x):\n    if x and x > 1:\n        return [y for y in x if y]\n    return 0\n'))""")
+    return adapter.table(spark, sf, "part").select(F.expr("concat('pkg', p_partkey % 25, '/sub/m', p_partkey, '.py')").alias("path"), text.alias("source"))
+
+
+def python_imports(spark, sf):
+    return source_code.python_imports(_sources(spark, sf))
+
+
+def file_complexity(spark, sf):
+    return source_code.complexity(_sources(spark, sf))
+
+
+def payload_json(spark, sf):
+    from .catalogue import scored_files
+
+    return payload.payloads(rules.score_changes(scored_files(spark, sf)))
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in (gbt_scores, shap_topk, python_imports, file_complexity, payload_json)}

@@ -9,11 +9,19 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder; a temporary one is set only where the session names none."""
+    sc = spark.sparkContext
+    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not path:
+        path = "file://" + tempfile.mkdtemp(prefix="churnlens-")
+        sc.setCheckpointDir(path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of ``df``; a folder is set only where the session names none."""
-    sc = df.sparkSession.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="churnlens-"))
+    """A reliable checkpoint of ``df``."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
