@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stored
+from .common import fresh, ship, stored
 from .components import connected_components
 
 THRESHOLD = 0.93
@@ -177,5 +177,6 @@ def embedding_groups(
 def drop_near_vectors(vectors: DataFrame, **options) -> DataFrame:
     """``vectors`` with one representative of each group; all columns stay."""
     id_col = options.get("id_col", "vec_id")
-    gone = embedding_groups(vectors, **options).where(~F.col("kept") & F.col("vec_id").isNotNull()).select(F.col("vec_id").alias("_gone")).distinct()
-    return vectors.join(gone, vectors[id_col] == F.col("_gone"), "left_anti")
+    name = fresh(vectors.columns, "_gone")
+    gone = embedding_groups(vectors, **options).where(~F.col("kept") & F.col("vec_id").isNotNull()).select(F.col("vec_id").alias(name)).distinct()
+    return vectors.join(gone, vectors[id_col] == F.col(name), "left_anti")

@@ -102,13 +102,13 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, sh
     step = F.greatest(F.lit(1), F.floor(F.col("width") / 4))
     cut = lambda low, high: F.slice("h", (F.greatest(low, F.lit(0)) + 1).cast("int"), F.greatest(F.lit(0), high - F.greatest(low, F.lit(0))).cast("int"))
     windows = windows.select(
-        "row", "width", F.greatest(F.col("start") - step, F.lit(0)).alias("low"),
+        "row", "width", "start", F.greatest(F.col("start") - step, F.lit(0)).alias("low"),
         cut(F.col("start"), F.col("start") + F.col("width")).alias("inner"), cut(F.col("start") - step, F.col("start") + F.col("width") + step).alias("outer"),
     )
-    keyed = windows.where(F.size("inner") > 0).select("row", "width", "low", "outer", F.inline(_bands(F.col("inner"))))
+    keyed = windows.where(F.size("inner") > 0).select("row", "width", "start", "low", "outer", F.inline(_bands(F.col("inner"))))
     index = known.select("license", "shingles", "m", "width", F.inline(_bands(F.col("shingles"))))
     # The index has BANDS rows for each of at most MOST_TEMPLATES templates: bounded, whatever the corpus.
-    candidates = keyed.join(F.broadcast(index), ["width", "band", "value"]).dropDuplicates(["row", "width", "low", "license"])
+    candidates = keyed.join(F.broadcast(index), ["width", "band", "value"]).dropDuplicates(["row", "width", "start", "license"])
     inside = F.size(F.array_intersect("shingles", "outer"))
     spots = F.filter(F.transform("outer", lambda x, i: F.when(F.array_contains("shingles", x), i)), lambda p: p.isNotNull())
     matches = candidates.where(inside >= share * F.col("m")).withColumn("spots", spots)
