@@ -75,5 +75,35 @@ FROM rows r JOIN best b USING (text_sha256)
 """
 
 
+_REACH = """, reach(id, other) AS (SELECT {id}, {id} FROM {table} UNION SELECT reach.id, links.b FROM reach JOIN links ON reach.other = links.a),
+component AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
+"""
+
+_OP2 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM words),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+common AS (
+  SELECT p.doc_id AS a, q.doc_id AS b, any_value(p.n) + any_value(q.n) AS both_n, count(*) AS c
+  FROM items p JOIN items q ON p.x = q.x AND p.doc_id < q.doc_id AND 100 * least(p.n, q.n) >= 80 * greatest(p.n, q.n)
+  GROUP BY p.doc_id, q.doc_id),
+half AS (SELECT a, b FROM common WHERE 100 * c >= 80 * (both_n - c)),
+links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half)
+""" + _REACH.format(id="doc_id", table="documents") + """
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN component ON id = doc_id
+"""
+
+_OP5 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.label = q.label AND p.vec_id <> q.vec_id AND list_cosine_similarity(p.e, q.e) >= 0.93::DOUBLE)
+""" + _REACH.format(id="vec_id", table="embeddings") + """
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN component ON id = vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": _OP4}
+    return {"op2_near_dedup": _OP2, "op4_exact_dedup": _OP4, "op5_embedding_dedup": _OP5}
