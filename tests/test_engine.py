@@ -100,3 +100,26 @@ def test_stream_equals_batch(spark, tmp_path):
     got = sorted(map(tuple, spark.table("running").collect()))
     want = sorted(map(tuple, history.running_history(touches).select("path", "sha", "seq", "prior_commits", "prior_fixes").collect()))
     assert got == want
+
+
+def test_analysis_of_a_branch(spark, repo):
+    from churnlens.plans import analysis
+
+    run = lambda *a: subprocess.run(["git", "-C", repo, *a], check=True, capture_output=True)
+    run("checkout", "-qb", "topic")
+    (repo / "app" / "use.py").write_text("from app import main\nimport app.util\n")
+    (repo / "app" / "main.py").write_text("def f(x):\n    return x + 3\n")
+    run("add", "-A")
+    run("-c", "user.name=Carol", "-c", "user.email=c@example.com", "commit", "-qm", "topic")
+    doc = analysis.analyse(spark, str(repo))
+    by = {f["path"]: f for f in doc["files"]}
+    assert set(by) == {"app/main.py", "app/use.py"} and doc["scope"]["base_ref"] == "main" and doc["scope"]["author"] == "Carol"
+    # History ends at the base, where the rename is known; Carol is new to the file.
+    assert {r["rule"] for r in by["app/main.py"]["reasons"]} == {"missing_tests", "author_new_to_file"}
+    assert {r["rule"] for r in by["app/use.py"]["reasons"]} == {"missing_tests"}
+    assert doc["blast_radius"]["analyzed"] and doc["blast_radius"]["direct_count"] == 0 and doc["blast_radius"]["graph"]["edges"] == 2
+    per = {p["path"]: p for p in doc["blast_radius"]["per_file"]}
+    assert per["app/main.py"]["direct"] == ["app/use.py"]
+    assert analysis.analyse(spark, str(repo), "all")["scope"]["files_analyzed"] == 3
+    (repo / "new.py").write_text("a = 1\nb = 2\n")
+    assert [(f["path"], f["lines_added"]) for f in analysis.analyse(spark, str(repo), "diff")["files"]] == [("new.py", 2)]
