@@ -71,6 +71,11 @@ def source_targets(rows: DataFrame, weight=cyclic_weights, max_passes: int = MAX
     return per.select("sid", "source", "source_size", "target", "full", "rest", blocks.alias("blocks"))
 
 
+def _key(id_column) -> Column:
+    """An id that is never null, so that membership in a list of ids is never unknown."""
+    return F.coalesce((F.col(id_column) if isinstance(id_column, str) else id_column).cast("bigint"), F.lit(-(2**63)))
+
+
 def _in_blocks(rows: DataFrame, sources: DataFrame) -> DataFrame:
     block = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.col("blocks"))
     return rows.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("block", block)
@@ -85,11 +90,11 @@ def block_plan(placed: DataFrame) -> DataFrame:
     crossing = (F.col("words") > F.col("room")) & (F.col("room") > 0)
     edge = per.where(crossing).select("sid", "block", "room")
     units = placed.select("sid", "block", "doc_id", "size").join(edge, ["sid", "block"]).groupBy("sid", "block", "room", "doc_id").agg(F.sum("size").alias("size"))
-    longest_first = F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("neg"), F.xxhash64(F.lit(SEED + 1), "doc_id").alias("mix"), F.col("doc_id").alias("id"))))
+    longest_first = F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("neg"), F.xxhash64(F.lit(SEED + 1), "doc_id").alias("mix"), _key("doc_id").alias("id"))))
     start = F.struct(F.col("room").alias("left"), F.array().cast("array<bigint>").alias("ids"))
     step = lambda acc, x: F.when(
         (x["neg"] < 0) & (acc["left"] + x["neg"] >= 0),
-        F.struct((acc["left"] + x["neg"]).alias("left"), F.array_append(acc["ids"], x["id"].cast("bigint")).alias("ids")),
+        F.struct((acc["left"] + x["neg"]).alias("left"), F.array_append(acc["ids"], x["id"]).alias("ids")),
     ).otherwise(acc)
     fits = units.groupBy("sid", "block", "room").agg(longest_first.alias("docs")).select("sid", "block", F.aggregate("docs", start, step)["ids"].alias("fitting"))
     none = F.array().cast("array<bigint>")
@@ -148,7 +153,7 @@ def mixing_plan(rows: DataFrame, shards: int | None = None, **options) -> tuple[
 
 
 def _repeats() -> Column:
-    return F.col("passes") + F.array_contains("fitting", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1))).cast("int")
+    return F.col("passes") + F.array_contains("fitting", _key("doc_id")).cast("int")
 
 
 def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
@@ -169,7 +174,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = plan.select(*(F.col(c).alias(names[c]) for c in plan.columns))
     out = docs.join(per, docs[source_col].eqNullSafe(F.col(names["source"])))
     out = out.withColumn(names["block"], F.pmod(F.xxhash64(F.lit(SEED), id_col), F.col(names["blocks"]))).join(plan, [names["sid"], names["block"]])
-    repeats = F.col(names["passes"]) + F.array_contains(names["fitting"], F.coalesce(F.col(id_col).cast("bigint"), F.lit(-1))).cast("int")
+    repeats = F.col(names["passes"]) + F.array_contains(names["fitting"], _key(id_col)).cast("int")
     taken = F.slice(F.coalesce(names["shards"], F.array().cast("array<bigint>")), F.lit(1), repeats.cast("int"))
     out = out.select(*columns, F.posexplode(taken).alias(names["copy"], names["shard"]))
     order = F.xxhash64(F.lit(SEED + 2), F.col(names["shard"]), F.col(id_col), F.col(names["copy"]))

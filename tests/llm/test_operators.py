@@ -177,6 +177,12 @@ def test_mixing(docs, none):
     assert mixing.mix_report(none).count() == 0 == mixing.mix(none).count()
 
 
+def test_mixing_takes_null_ids_like_others(spark):
+    rows = [(None if i % 2 else i, "w " * 3, "s" if i < 12 else "t") for i in range(40)]
+    got = mixing.mix_report(spark.createDataFrame(rows, "doc_id long, text string, source string"), shards=2).collect()
+    assert len(got) == 40 and all(r["taken"] == 3 * r["repeats"] for r in got)
+
+
 def test_splitting_keeps_quotas_exact(spark):
     quotas = spark.createDataFrame([(1, 700), (2, 30), (3, 0), (4, 270)], "sid int, quota long")
     rows = mixing.split_quotas(quotas, 3).collect()
