@@ -22,8 +22,8 @@ _ODD = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-
 _PLAIN = re.compile(r"[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 #: The pre-tokeniser's alternatives for plain lower-case words.
 _RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-#: Distinct words a worker remembers (about 100 MB); beyond it the memory is emptied, results stay the same.
-REMEMBERED = 1_500_000
+#: Distinct words a worker remembers (about 40 MB); beyond it the memory is emptied, results stay the same.
+REMEMBERED = 600_000
 
 
 def _byte_of() -> dict[str, int]:

@@ -138,7 +138,7 @@ def _cut(parts: dict[int, np.ndarray], length: int):
         import pyarrow as pa
 
         columns = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             out: dict[str, list] = {c: [] for c in columns}
             source: list[int] = []
             full, rest = batch.column("full_rank").to_pylist(), batch.column("rest_rank").to_pylist()
