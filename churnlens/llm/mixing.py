@@ -168,14 +168,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """The mixed documents: a row for each repeat, in shards, shuffled within each; all columns of ``docs`` stay."""
     columns = docs.columns
     placed, plan = mixing_plan(sizes(docs, id_col, text_col, source_col), **options)
-    per = placed.select("source", "sid", "blocks").distinct()
-    names = {c: fresh(columns, f"_mix_{c}") for c in ("source", "sid", "blocks", "block", "passes", "fitting", "shards", "doc_id", "shard", "copy")}
-    per = per.select(*(F.col(c).alias(names[c]) for c in per.columns))
-    plan = plan.select(*(F.col(c).alias(names[c]) for c in plan.columns))
-    out = docs.join(per, docs[source_col].eqNullSafe(F.col(names["source"])))
-    out = out.withColumn(names["block"], F.pmod(F.xxhash64(F.lit(SEED), id_col), F.col(names["blocks"]))).join(plan, [names["sid"], names["block"]])
-    repeats = F.col(names["passes"]) + F.array_contains(names["fitting"], _key(id_col)).cast("int")
-    taken = F.slice(F.coalesce(names["shards"], F.array().cast("array<bigint>")), F.lit(1), repeats.cast("int"))
-    out = out.select(*columns, F.posexplode(taken).alias(names["copy"], names["shard"]))
-    order = F.xxhash64(F.lit(SEED + 2), F.col(names["shard"]), F.col(id_col), F.col(names["copy"]))
-    return out.repartition(names["shard"]).sortWithinPartitions(names["shard"], order).select(*columns)
+    key, source, shards, shard, copy = (fresh(columns, f"_mix_{c}") for c in ("id", "source", "shards", "shard", "copy"))
+    # Which shards take a row is settled on narrow rows, so texts move twice only: to their plan by id, and to their
+    # shard. They never move by source, which may be hot.
+    taken = placed.join(plan, ["sid", "block"]).withColumn("repeats", _repeats().cast("int")).where("repeats > 0")
+    taken = taken.select(F.col("doc_id").alias(key), F.col("source").alias(source), F.slice("shards", F.lit(1), F.col("repeats")).alias(shards)).dropDuplicates([key, source])
+    out = docs.join(taken, docs[id_col].eqNullSafe(F.col(key)) & docs[source_col].eqNullSafe(F.col(source)))
+    out = out.select(*columns, F.posexplode(shards).alias(copy, shard))
+    order = F.xxhash64(F.lit(SEED + 2), F.col(shard), F.col(id_col), F.col(copy))
+    return out.repartition(shard).sortWithinPartitions(shard, order).select(*columns)
