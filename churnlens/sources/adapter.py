@@ -52,10 +52,10 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def renames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(pos, old_path, new_path), newest first: some re-use an old name, some go there and back."""
-    keys = table(spark, sf_dir, "part").where("p_partkey % 50 = 3").select(F.col("p_partkey").alias("k"))
+    """(pos, old_path, new_path) of every part, newest first: all re-use an old name, half go there and back."""
+    keys = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
     path = lambda s: F.concat(F.lit("r"), F.col("k").cast("string"), F.lit(s))
     first = keys.select((F.col("k") * 3).alias("pos"), path("/a.py").alias("old_path"), path("/b.py").alias("new_path"))
     second = keys.select((F.col("k") * 3 + 900).alias("pos"), path("/c.py").alias("old_path"), path("/a.py").alias("new_path"))
-    third = keys.where("k % 100 = 3").select((F.col("k") * 3 + 1800).alias("pos"), path("/a.py").alias("old_path"), path("/c.py").alias("new_path"))
+    third = keys.where("k % 100 < 50").select((F.col("k") * 3 + 1800).alias("pos"), path("/a.py").alias("old_path"), path("/c.py").alias("new_path"))
     return first.unionByName(second).unionByName(third)
