@@ -3,10 +3,9 @@
 Vectors with equal labels and equal components are one point with a weight. Centroids are fitted on
 a bounded sample (``SAMPLE`` points); every point is then assigned to its nearest cell, its home. A
 point also visits each cell whose bisecting plane is so near that a partner may live behind it: its
-gap (cosine to its home centroid less cosine to the other) is at most ``MARGIN``. A partner at cosine
-0.93 lies at most 0.374 away, so a margin of 0.374 times the distance of the two centroids finds
-every link (``margin=None``); the default of 0.3 is over four standard deviations of what a
-partner's free direction adds in 64 dimensions.
+gap (cosine to its home centroid less cosine to the other) is at most 0.374 times the distance of the
+two centroids. A partner at cosine 0.93 lies at most 0.374 away, so this bound finds every link from
+both of its ends, whatever the vectors (``margin=None``); a number is a fixed margin, which may not.
 
 Within a cell, homes and visitors are cut into blocks of ``BLOCK`` points, and a task multiplies two
 blocks at a time in double precision. It returns one row per point: the weight of its partners and
@@ -33,7 +32,8 @@ SAMPLE = 20_000
 #: Points of a label that a cell should hold; cells at most.
 CELL_POINTS, MOST_CELLS = 2048, 4096
 BLOCK = 2048
-MARGIN = 0.3
+#: None: the bound that misses no link.
+MARGIN = None
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
