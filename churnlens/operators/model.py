@@ -123,7 +123,7 @@ def predict(rows: DataFrame, trees: Trees) -> DataFrame:
     return rows.mapInPandas(run, schema.replace(":", " "))
 
 
-def best_rounds(train: DataFrame, config: Training = Training(), grid: int = 5) -> int:
+def best_rounds(train: DataFrame, config: Training = Training(), grid: int = 1) -> int:
     """Rounds with the best average precision on the newest slice of the training rows, every ``grid`` rounds, with patience."""
     ship(train.sparkSession)
     split = cut(metrics.time_split(train, config.holdout_fraction, "seq", "sha"))

@@ -11,8 +11,7 @@ from ..operators import features, history, model, rules
 from ..sources import adapter
 from . import payload
 
-#: The catalogue's training: fewer rounds than the default, same method.
-CONFIG = Training(max_rounds=20)
+CONFIG = Training()
 
 
 def training_rows(spark, sf) -> DataFrame:
@@ -36,7 +35,7 @@ def shap_topk(spark, sf):
     from .storage import cut
 
     rows = cut(training_rows(spark, sf))
-    trees = model.trees_of(spark, model.fit(rows, 10, CONFIG))
+    _, trees = model.train(rows, CONFIG)
     return model.contributions(rows, trees)
 
 
