@@ -29,7 +29,7 @@ _TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>|</[^a-zA-Z][^>]*+>|<(?:/?[a-zA-Z!?][^>]*+)\Z",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s>]+))?|["'=]""")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 #: Fixed values of the HTML standard.
@@ -74,10 +74,10 @@ def _names(attributes: str) -> tuple[list[str], bool]:
     """Words of class, id and role; and whether the element is hidden."""
     found, hidden = [], False
     for m in _ATTRIBUTE.finditer(attributes):
-        key, value = m[1].lower(), (m[2] or "").strip("\"'")
+        key, value = (m[1] or "").lower(), (m[2] or "").strip("\"'")
         if key in ("hidden", "aria-hidden"):
             hidden |= key == "hidden" or value.lower() == "true"
-        elif key != "itemprop":
+        elif key in ("class", "id", "role"):
             found += [p.lower() for p in _PART.findall(value)]
     return found, hidden
 

@@ -1,8 +1,9 @@
 """Defaults do the whole job on inputs that the given tables lack."""
 
 import numpy as np
+import pytest
 
-from churnlens.llm import embedding_dedup
+from churnlens.llm import embedding_dedup, html_text
 
 
 def test_default_margin_finds_all_links_of_low_rank_vectors(spark):
@@ -16,3 +17,14 @@ def test_default_margin_finds_all_links_of_low_rank_vectors(spark):
     links = (unit @ unit.T >= embedding_dedup.THRESHOLD).sum(1) - 1
     got = {q["vec_id"]: q["n_links"] for q in embedding_dedup.embedding_groups(frame, cell_points=50, block=64).collect()}
     assert [got[i] for i in range(len(x))] == links.tolist()
+
+
+@pytest.mark.parametrize("tag", ['a href="/wiki/hidden-markov"', 'a title="a hidden valley"', 'span style="overflow:hidden"', 'span data-hidden="false"', "a href=/x/hidden", 'a title="x hidden=1 y"', 'a data-class="ad"'])
+def test_hidden_is_an_attribute_name_only(tag):
+    name = tag.split()[0]
+    assert html_text.extract(f"<article><p>one <{tag}>two</{name}> three</p></article>") == "one two three"
+
+
+@pytest.mark.parametrize("tag", ["span hidden", "span HIDDEN=''", "span class='x' hidden", 'span title="a>b" hidden', "span aria-hidden='true'", "span class=ad"])
+def test_hidden_elements_are_left_out(tag):
+    assert "two" not in html_text.extract(f"<article><p>one <{tag}>two</span> three</p></article>")
