@@ -6,7 +6,8 @@
 2. Blocks: documents fall into blocks of about ``block_docs`` by a hash of their id, so that a block
    is a random part of its source and blocks in number order are a random permutation. A source is
    taken whole as often as its target allows; one more pass takes blocks in order up to the target,
-   and of the block that crosses it the documents that still fit, longest first.
+   of the block that crosses it the documents that still fit, longest first, and so on with the room
+   left in the blocks after it.
 3. Tree: the exact number of draws (block and pass) of each source is split recursively between two
    halves of the output shards. A split draws the units of all sources without replacement until the
    left half is full, which is a multivariate hypergeometric draw; quotas stay exact at every level.
@@ -81,26 +82,66 @@ def _in_blocks(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("block", block)
 
 
-def block_plan(placed: DataFrame) -> DataFrame:
-    """Per (sid, block): passes, the ids that one more pass takes of the crossing block, and the block's place in its source."""
-    per = placed.groupBy("sid", "block").agg(F.sum("size").alias("words"), *(F.first(c).alias(c) for c in ("full", "rest")))
-    in_order = Window.partitionBy("sid").orderBy("block")
-    per = per.withColumns({"place": F.row_number().over(in_order), "until": F.sum("words").over(in_order), "in_source": F.count(F.lit(1)).over(Window.partitionBy("sid"))})
-    per = per.withColumn("room", F.col("rest") - (F.col("until") - F.col("words")))
-    crossing = (F.col("words") > F.col("room")) & (F.col("room") > 0)
-    edge = per.where(crossing).select("sid", "block", "room")
-    units = placed.select("sid", "block", "doc_id", "size").join(edge, ["sid", "block"]).groupBy("sid", "block", "room", "doc_id").agg(F.sum("size").alias("size"))
+def _longest_first(units: DataFrame) -> DataFrame:
+    """Per (sid, block) of ``units`` (sid, block, room, doc_id, size): the keys that fit the room, longest first, and the room left."""
     longest_first = F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("neg"), F.xxhash64(F.lit(SEED + 1), "doc_id").alias("mix"), _key("doc_id").alias("id"))))
     start = F.struct(F.col("room").alias("left"), F.array().cast("array<bigint>").alias("ids"))
     step = lambda acc, x: F.when(
         (x["neg"] < 0) & (acc["left"] + x["neg"] >= 0),
         F.struct((acc["left"] + x["neg"]).alias("left"), F.array_append(acc["ids"], x["id"]).alias("ids")),
     ).otherwise(acc)
-    fits = units.groupBy("sid", "block", "room").agg(longest_first.alias("docs")).select("sid", "block", F.aggregate("docs", start, step)["ids"].alias("fitting"))
+    filled = units.groupBy("sid", "block", "room").agg(longest_first.alias("docs")).select("sid", "block", F.aggregate("docs", start, step).alias("got"))
+    return filled.select("sid", "block", F.col("got.ids").alias("fitting"), F.col("got.left").alias("left"))
+
+
+def _units(placed: DataFrame) -> DataFrame:
+    """Rows of an id are one unit: they fit together or not at all."""
+    return placed.groupBy("sid", "block", "doc_id").agg(F.sum("size").alias("size"))
+
+
+def _carried(placed: DataFrame, first: DataFrame) -> DataFrame:
+    """Per (sid, block): the ids that the room left after the crossing blocks ``first`` (sid, block, fitting, left) takes of later blocks, in order.
+
+    Only units no longer than the room count. Blocks that these fill are taken in order, and the next block that
+    crosses is filled longest first. What is left is then less than half the room, so the rounds are few.
+    """
+    rooms = stored(first.where("left > 0").select("sid", F.col("block").alias("after"), "left"), "rooms")
+    later = lambda rows: rows.join(rooms, "sid").where((F.col("block") > F.col("after")) & (F.col("size") > 0) & (F.col("size") <= F.col("left")))
+    # A unit is no shorter than its shortest row with words: blocks without a short row are passed over.
+    near = later(placed.select("sid", "block", "size")).select("sid", "block").distinct()
+    units = stored(_units(placed.join(near, ["sid", "block"], "left_semi")), "later")
+    found = first.select("sid", "block", "fitting")
+    in_order = Window.partitionBy("sid").orderBy("block")
+    while True:
+        units = stored(later(units).select("sid", "block", "doc_id", "size"), "later")
+        if units.isEmpty():
+            return found
+        per = units.groupBy("sid", "block").agg(F.sum("size").alias("words")).join(rooms, "sid")
+        per = per.withColumn("room", F.col("left") - F.sum("words").over(in_order) + F.col("words"))
+        per = stored(per.where("room > 0").select("sid", "block", "words", "room"), "round")
+        filled = stored(_longest_first(units.join(per.select("sid", "block", "room"), ["sid", "block"])), "filled")
+        found = found.unionByName(filled.select("sid", "block", "fitting"))
+        # Only the last block of a source can have crossed; the others were taken whole.
+        last = per.groupBy("sid").agg(F.max("block").alias("block"))
+        rooms = stored(filled.join(last, ["sid", "block"]).where("left > 0").select("sid", F.col("block").alias("after"), "left"), "rooms")
+
+
+def block_plan(placed: DataFrame) -> DataFrame:
+    """Per (sid, block): passes, the ids that one more pass takes of the crossing block and of those after it, and the block's place in its source."""
+    per = placed.groupBy("sid", "block").agg(F.sum("size").alias("words"), *(F.first(c).alias(c) for c in ("full", "rest")))
+    in_order = Window.partitionBy("sid").orderBy("block")
+    per = per.withColumns({"place": F.row_number().over(in_order), "until": F.sum("words").over(in_order), "in_source": F.count(F.lit(1)).over(Window.partitionBy("sid"))})
+    per = stored(per.withColumn("room", F.col("rest") - (F.col("until") - F.col("words"))), "per_block")
+    crossing = (F.col("words") > F.col("room")) & (F.col("room") > 0)
+    edge = per.where(crossing).select("sid", "block", "room")
+    first = stored(_longest_first(_units(placed.join(edge.select("sid", "block"), ["sid", "block"], "left_semi")).join(edge, ["sid", "block"])), "crossing")
+    fits = _carried(placed, first)
     none = F.array().cast("array<bigint>")
     passes = F.col("full") + F.when((F.col("words") <= F.col("room")) & (F.col("room") > 0), 1).otherwise(0)
     out = per.join(fits, ["sid", "block"], "left").withColumns({"passes": passes, "fitting": F.coalesce("fitting", none)})
-    return out.withColumn("draws", F.col("passes") + F.when(F.size("fitting") > 0, 1).otherwise(0))
+    out = out.withColumn("draws", F.col("passes") + F.when(F.size("fitting") > 0, 1).otherwise(0))
+    # The last pass may miss blocks; its draws are numbered without gaps.
+    return out.withColumn("last_place", F.sum((F.col("draws") > F.col("full")).cast("long")).over(in_order))
 
 
 def split_quotas(quotas: DataFrame, levels: int) -> DataFrame:
@@ -146,8 +187,9 @@ def mixing_plan(rows: DataFrame, shards: int | None = None, **options) -> tuple[
     before = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     first = F.coalesce(F.sum("quota").over(before), F.lit(0)) + 1
     slots = leaves.withColumn("first", first).select("sid", "shard", F.explode(F.sequence("first", F.col("first") + F.col("quota") - 1)).alias("draw"))
-    draws = plan.where("draws > 0").select("sid", "block", F.posexplode(F.sequence(F.lit(0), F.col("draws") - 1)).alias("p", "turn"), "place", "in_source")
-    draws = draws.select("sid", "block", "turn", (F.col("turn") * F.col("in_source") + F.col("place")).alias("draw"))
+    draws = plan.where("draws > 0").select("sid", "block", F.posexplode(F.sequence(F.lit(0), F.col("draws") - 1)).alias("p", "turn"), "place", "last_place", "full", "in_source")
+    place = F.when(F.col("turn") < F.col("full"), F.col("place")).otherwise(F.col("last_place"))
+    draws = draws.select("sid", "block", "turn", (F.col("turn") * F.col("in_source") + place).alias("draw"))
     where = draws.join(slots, ["sid", "draw"]).groupBy("sid", "block").agg(F.sort_array(F.collect_list(F.struct("turn", "shard")))["shard"].alias("shards"))
     return placed, plan.select("sid", "block", "passes", "fitting").join(where, ["sid", "block"], "left")
 
