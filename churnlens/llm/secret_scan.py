@@ -2,8 +2,8 @@
 
 Three base patterns find single-part secrets. Beyond them, a credential often comes in parts that
 are weak alone: an access identifier, a secret, an endpoint. All parts of a text are found, each
-access identifier or endpoint opens a scope (an interval of ``REACH`` code points on either side, cut
-at blank lines), and an interval join by binary search links the parts whose starts lie in a common
+identifier or access key opens a scope (an interval of ``REACH`` code points on either side, cut at
+blank lines), and an interval join by binary search links the parts whose starts lie in a common
 scope. A weak candidate (a bare 32 to 64 character string of mixed classes, a user name, a client
 id, an endpoint) is reported only when complementary parts co-occur: a bare secret or a base
 ``assign`` match with an identifier.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,8 +52,13 @@ def linked_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     anchors = sorted([*identifiers, *(b for b in base if b[1] == 1)])
     if not anchors:
         return []
-    taken = [(s, e) for s, _, e in base]
-    free = lambda s, e: not any(a < e and s < b for a, b in taken)
+    starts, reach = [b[0] for b in base], list(accumulate((b[2] for b in base), max))
+
+    def free(start: int, end: int) -> bool:
+        """No base match that starts before ``end`` goes beyond ``start``."""
+        i = bisect_left(starts, end)
+        return not i or reach[i - 1] <= start
+
     weak = [(m.start(), 4, m.end()) for m in _BARE.finditer(text) if _mixed(m[0]) and free(m.start(), m.end())]
     secrets = sorted([*weak, *(b for b in base if b[1] != 1)])
     if not secrets:
