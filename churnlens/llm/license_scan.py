@@ -10,8 +10,9 @@ window and a quarter of it on either side.
 
 A window can share a MinHash with a template only if it holds a shingle of it. So windows are laid
 only around such shingles, which loses nothing, and the many texts without any cost one pass of
-shingle hashes. Only DataFrame functions; texts are read once. The template library is a parameter
-of bounded size (``MOST_TEMPLATES``), the only thing that is broadcast or sent as a literal.
+shingle hashes. Only DataFrame functions; texts are read once a part. The template library is a parameter,
+and the only thing that is broadcast or sent as a literal, ``MOST_TEMPLATES`` at a time: a larger one
+is scanned for in parts, one after the other.
 
 Defined results: null and short texts (under five words) have no match; a null id is carried on;
 repeated rows get a row each; overlapping occurrences of one template that share their first and last
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Words of a shingle, bands (of one MinHash each), share of a template that must be there, library bound.
+#: Words of a shingle, bands (of one MinHash each), share of a template that must be there, templates of a part.
 WORDS, BANDS, SHARE, MOST_TEMPLATES = 5, 16, 0.8, 2000
 
 #: Notices of public licences, by SPDX-like names.
@@ -70,22 +71,32 @@ def _bands(shingles: Column) -> Column:
 
 def template_table(spark, templates: dict[str, str]) -> DataFrame:
     """(license, shingles, m, width): width is the number of shingles of its windows."""
-    if len(templates) > MOST_TEMPLATES:
-        raise ValueError(f"{len(templates)} templates; the library holds {MOST_TEMPLATES} at most")
     table = shingle_hashes(spark.createDataFrame(sorted(templates.items()), "license string, text string"))
     table = table.withColumn("shingles", F.array_distinct("h")).drop("h").withColumn("m", F.size("shingles")).where("m > 0")
     return table.withColumn("width", F.pow(F.lit(2.0), F.ceil(F.log2(F.col("m").cast("double")))).cast("int"))
 
 
-def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", part: int = MOST_TEMPLATES) -> tuple[DataFrame, DataFrame]:
     """(rows, matches): every input row by number, and (row, license, first, last) word places of the matches."""
+    every = sorted((TEMPLATES if templates is None else templates).items())
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    if len(every) > part:
+        texts = stored(texts, "texts")  # row numbers must be the same in each part
+    found = [_part_matches(texts, dict(every[at : at + part]), share) for at in range(0, max(1, len(every)), part)]
+    matches = found[0][1]
+    for _, more in found[1:]:
+        matches = matches.unionByName(more)
+    return found[0][0], matches
+
+
+def _part_matches(docs: DataFrame, templates: dict[str, str], share: float) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     # Local rows: the library is small and its hashes must be known before the texts are read.
-    library = template_table(spark, TEMPLATES if templates is None else templates).collect()
+    library = template_table(spark, templates).collect()
     vocabulary = sorted({h for t in library for h in t["shingles"]})
     widths = sorted({t["width"] for t in library})
     known = spark.createDataFrame([(t["license"], t["shingles"], t["m"], t["width"]) for t in library], "license string, shingles array<bigint>, m int, width int")
-    hashed = shingle_hashes(docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text")))
+    hashed = shingle_hashes(docs)
     anchors = hashed.withColumn("found", F.exists("h", lambda x: x.isin(vocabulary) if vocabulary else F.lit(False)))
     rows = stored(anchors.select("doc_id", "row", F.when(F.col("found"), F.col("h")).alias("h")), "shingles")
     held = rows.where(F.col("h").isNotNull()).withColumn("places", F.filter(F.transform("h", lambda x, i: F.when(x.isin(vocabulary), i)), lambda p: p.isNotNull()))
