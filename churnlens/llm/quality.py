@@ -3,9 +3,9 @@
 A document's UTF-8 bytes are cut into overlapping chunks that cover all of it. Each byte has a
 learned vector, learned filters slide over a chunk, and each filter's greatest response in the chunk
 is kept (max-pooling). A hidden layer reads a chunk's responses; the mean and the maximum of its units
-over all chunks give one probability. The network is trained here, by gradient descent on a bounded
-sample of labelled rows (``SAMPLE`` rows, ``TRAIN_CHUNKS`` evenly spaced chunks of each); scoring
-reads whole texts, in bounded memory, on the executors.
+over all chunks give one probability. The network is trained here, by gradient descent on the whole
+texts of a bounded sample of labelled rows (``SAMPLE``); scoring reads whole texts, in bounded
+memory, on the executors.
 
 Defined results: a null or empty text is one chunk of padding and gets the network's score of that;
 without labels of both kinds every score is the smoothed share of label 1 (0.5 without labels);
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import fresh, map_texts
 from .textvec import as_bytes
 
-#: Labelled rows in the training sample at most, and chunks of each.
-SAMPLE, TRAIN_CHUNKS = 4000, 6
+#: Labelled rows in the training sample at most.
+SAMPLE = 3000
 #: Bytes of a chunk and of its step: chunks overlap by more than a filter's width.
 CHUNK, STEP = 256, 224
 WIDTH, STRIDE, DEPTH, FILTERS, HIDDEN = 6, 2, 6, 32, 16
@@ -49,13 +49,34 @@ def initial(seed: int = 5) -> dict[str, np.ndarray]:
     }
 
 
-def responses(net: dict, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Greatest response of each filter in each chunk, its place, and the windows' values."""
-    vectors = net["bytes"][chunks]
-    windows = np.lib.stride_tricks.sliding_window_view(vectors, WIDTH, axis=1)[:, ::STRIDE].transpose(0, 1, 3, 2).reshape(len(chunks), PLACES, WIDTH * DEPTH)
-    conv = windows.reshape(-1, WIDTH * DEPTH) @ net["filters"]
-    conv = conv.reshape(len(chunks), PLACES, FILTERS)
-    return conv.max(1) + net["bias"], conv, windows
+#: Chunks convolved at once.
+SLICE = 256
+
+
+def responses(net: dict, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Greatest response of each filter in each chunk, and its place."""
+    greatest, places = [], []
+    for at in range(0, len(chunks), SLICE):
+        vectors = net["bytes"][chunks[at : at + SLICE]]
+        windows = np.lib.stride_tricks.sliding_window_view(vectors, WIDTH, axis=1)[:, ::STRIDE].transpose(0, 1, 3, 2)
+        conv = (windows.reshape(-1, WIDTH * DEPTH) @ net["filters"]).reshape(len(vectors), PLACES, FILTERS)
+        place = conv.argmax(1)
+        places.append(place)
+        greatest.append(np.take_along_axis(conv, place[:, None], 1)[:, 0])
+    return np.concatenate(greatest) + net["bias"], np.concatenate(places)
+
+
+def _back(net: dict, chunks: np.ndarray, place: np.ndarray, dz: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradients of the filters and byte vectors from those of the greatest responses."""
+    filters, vectors = np.zeros_like(net["filters"]), np.zeros_like(net["bytes"])
+    for at in range(0, len(chunks), SLICE):
+        d, part = dz[at : at + SLICE], chunks[at : at + SLICE]
+        spots = part[np.arange(len(part))[:, None, None], place[at : at + SLICE, :, None] * STRIDE + np.arange(WIDTH)]
+        filters += np.einsum("cf,cfk->kf", d, net["bytes"][spots].reshape(len(part), FILTERS, WIDTH * DEPTH), optimize=True)
+        back = (d[:, :, None] * net["filters"].T[None]).reshape(-1, DEPTH)
+        flat = spots.reshape(-1)
+        vectors += np.stack([np.bincount(flat, back[:, k], 256) for k in range(DEPTH)], 1).astype(np.float32)
+    return {"filters": filters, "bytes": vectors}
 
 
 def tables(net: dict) -> list[np.ndarray]:
@@ -91,8 +112,8 @@ def score(net: dict, texts: list[bytes], made: list[np.ndarray] | None = None) -
     return (1 / (1 + np.exp(-np.clip(logit, -30, 30)))).tolist()
 
 
-def train(samples: list[np.ndarray], labels: np.ndarray, steps: int = 400, batch: int = 48, rate: float = 4e-3, seed: int = 5) -> dict[str, np.ndarray]:
-    """A network fitted to (chunks of a document, label) pairs by Adam."""
+def train(samples: list[bytes], labels: np.ndarray, steps: int = 400, batch: int = 48, rate: float = 4e-3, seed: int = 5) -> dict[str, np.ndarray]:
+    """A network fitted to (text, label) pairs by Adam."""
     net, r = initial(seed), np.random.Generator(np.random.PCG64(seed + 1))
     share = float(np.clip(labels.mean(), 0.01, 0.99))
     net["out_bias"][0] = np.log(share / (1 - share))
@@ -100,17 +121,15 @@ def train(samples: list[np.ndarray], labels: np.ndarray, steps: int = 400, batch
     second = {k: np.zeros_like(v) for k, v in net.items()}
     for step in range(1, steps + 1):
         pick = r.choice(len(samples), min(batch, len(samples)), replace=False)
-        sets, y = [samples[i] for i in pick], labels[pick].astype(np.float32)
+        sets, y = [chunks_of(samples[i]) for i in pick], labels[pick].astype(np.float32)
         chunks, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         count = np.bincount(doc).astype(np.float32)[:, None]
-        z0, conv, windows = responses(net, chunks)
+        z0, place = responses(net, chunks)
         z = np.maximum(z0, 0)
         h0 = z @ net["hidden"] + net["hidden_bias"]
         h = np.maximum(h0, 0)
-        mean = np.zeros((len(sets), HIDDEN), np.float32)
-        np.add.at(mean, doc, h)
         at = np.cumsum(count[:, 0]).astype(int) - count[:, 0].astype(int)
-        top = np.maximum.reduceat(h, at, axis=0)
+        mean, top = np.add.reduceat(h, at, axis=0), np.maximum.reduceat(h, at, axis=0)
         joint = np.concatenate([mean / count, top], 1)
         p = 1 / (1 + np.exp(-np.clip(joint @ net["out"] + net["out_bias"], -30, 30)))
         d = (p - y) / len(y)
@@ -121,13 +140,7 @@ def train(samples: list[np.ndarray], labels: np.ndarray, steps: int = 400, batch
         g["hidden"], g["hidden_bias"] = z.T @ dh, dh.sum(0)
         dz = (dh @ net["hidden"].T) * (z0 > 0)
         g["bias"] = dz.sum(0)
-        place = conv.argmax(1)
-        best = windows[np.arange(len(chunks))[:, None], place]
-        g["filters"] = np.einsum("cf,cfk->kf", dz, best)
-        back = (dz[:, :, None] * net["filters"].T[None]).reshape(len(chunks), FILTERS, WIDTH, DEPTH)
-        spots = chunks[np.arange(len(chunks))[:, None, None], place[:, :, None] * STRIDE + np.arange(WIDTH)]
-        g["bytes"] = np.zeros_like(net["bytes"])
-        np.add.at(g["bytes"], spots.reshape(-1), back.reshape(-1, DEPTH))
+        g |= _back(net, chunks, place, dz)
         fall = rate * min(1.0, 2 * (1 - step / (steps + 1)))
         for k, v in net.items():
             grad = g[k].astype(np.float32) + 1e-4 * v * (k in ("filters", "hidden", "out"))
@@ -144,14 +157,6 @@ def constant(share: float) -> dict[str, np.ndarray]:
     return net
 
 
-def _spaced(texts: list[str]) -> dict[str, list]:
-    out = []
-    for text in as_bytes(texts):
-        c = chunks_of(text)
-        out.append(c[np.unique(np.linspace(0, len(c) - 1, TRAIN_CHUNKS).round().astype(int))].tobytes())
-    return {"chunks": out}
-
-
 def held_out(column) -> object:
     """Whether a row is in the fold that training never sees."""
     return F.coalesce(F.pmod(F.crc32(column.cast("string")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
@@ -163,11 +168,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     rows = usable.groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     # At most ``sample`` ids and numbers, so the broadcast is bounded whatever the tables hold.
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(rows), "_id")
-    got = map_texts(texts, _spaced, "chunks binary", "_text").orderBy(F.xxhash64("_id"), "_id", "chunks").limit(sample).toPandas()
+    got = texts.orderBy(F.xxhash64("_id"), "_id", "_text").limit(sample).toPandas()
     y = got["_label"].to_numpy(np.float32)
     if not len(y) or y.min() == y.max():
         return constant((float(y.sum()) + 1) / (len(y) + 2))
-    return train([np.frombuffer(c, np.uint8).reshape(-1, CHUNK) for c in got["chunks"]], y)
+    return train(as_bytes(got["_text"]), y)
 
 
 def quality_scores(docs: DataFrame, net: dict, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
