@@ -9,8 +9,9 @@
    of the block that crosses it the documents that still fit, longest first, and so on with the room
    left in the blocks after it.
 3. Tree: the exact number of draws (block and pass) of each source is split recursively between two
-   halves of the output shards. A split draws the units of all sources without replacement until the
-   left half is full, which is a multivariate hypergeometric draw; quotas stay exact at every level.
+   halves of the output shards. A split gives the left half of each source in turn as many as a
+   hypergeometric draw from the units left says, which together is a multivariate hypergeometric draw;
+   quotas stay exact at every level.
 4. Every leaf takes its quota as the next disjoint draws of the source's permutation; rows go to
    their shard and are shuffled there by a hash.
 
@@ -150,22 +151,13 @@ def split_quotas(quotas: DataFrame, levels: int) -> DataFrame:
     node = quotas.agg(F.sort_array(F.collect_list(F.struct(F.col("sid").cast("int").alias("sid"), F.col("quota").cast("long").alias("q")))).alias("left"))
     node = node.select(F.lit(0).cast("long").alias("node"), F.coalesce(F.col("left"), F.array().cast(item)).alias("quotas"))
     for level in range(levels):
-        # Unit i of a source goes left with probability (room left) / (units left): sampling without replacement.
         node = node.withColumn("n", F.aggregate("quotas", F.lit(0).cast("long"), lambda a, x: a + x["q"]))
         node = node.withColumn(
             "split",
             F.expr(f"""
               aggregate(quotas, named_struct('room', n div 2, 'units', n, 'taken', cast(array() as {item})), (a, x) ->
-                aggregate(
-                  array(aggregate(
-                    if(x.q = 0, cast(array() as array<bigint>), sequence(1L, x.q)),
-                    named_struct('room', a.room, 'units', a.units),
-                    (b, i) -> named_struct(
-                      'room', if(pmod(xxhash64({SEED}, {level}, node, x.sid, i), 2147483648L) / 2147483648D * b.units < b.room, b.room - 1, b.room),
-                      'units', b.units - 1))),
-                  a, (c, d) -> named_struct(
-                    'room', d.room, 'units', d.units,
-                    'taken', array_append(c.taken, named_struct('sid', x.sid, 'q', c.room - d.room)))))"""),
+                aggregate(array({_hypergeometric(level)}), a, (c, k) -> named_struct(
+                  'room', c.room - k, 'units', c.units - x.q, 'taken', array_append(c.taken, named_struct('sid', x.sid, 'q', k)))))"""),
         )
         left = F.col("split.taken")
         right = F.zip_with("quotas", left, lambda x, y: F.struct(x["sid"].alias("sid"), (x["q"] - y["q"]).alias("q")))
@@ -176,6 +168,27 @@ def split_quotas(quotas: DataFrame, levels: int) -> DataFrame:
     return node.select(F.col("node").alias("shard"), F.inline("quotas")).withColumnRenamed("q", "quota").where("quota > 0")
 
 
+def _hypergeometric(level: int) -> str:
+    """How many of ``a.room`` draws without replacement from ``a.units`` units fall on the ``x.q`` units of a source, as SQL.
+
+    Inversion: the chances of the counts within 9 standard deviations and 12 of the most likely one follow from their ratios,
+    so the work grows with the root of the quota, and what is left out is below the precision of a double.
+    """
+    # One-element arrays name what is used more than once.
+    least, most = "greatest(0L, a.room - (a.units - x.q))", "least(x.q, a.room)"
+    likely = "cast(floor((x.q + 1D) * (a.room + 1D) / (a.units + 2D)) as bigint)"
+    spread = "sqrt(1D * a.room * x.q / greatest(a.units, 1L) * (1D - 1D * x.q / greatest(a.units, 1L)) * (a.units - a.room) / greatest(a.units - 1L, 1L))"
+    reach = f"cast(ceil(9D * {spread}) as bigint) + 12L"
+    ratio = "(x.q - i) * 1D * (a.room - i) / ((i + 1D) * (a.units - x.q - a.room + i + 1D))"
+    draw = f"pmod(xxhash64({SEED}, {level}, node, x.sid), 9007199254740992L) / 9007199254740992D"
+    steps = "if(z.high > z.low, sequence(z.low, z.high - 1L), cast(array() as array<bigint>))"
+    total = f"aggregate({steps}, named_struct('w', 1D, 'sum', 1D), (b, i) -> named_struct('w', b.w * {ratio}, 'sum', b.sum + b.w * {ratio}), b -> b.sum)"
+    chosen = f"""aggregate({steps}, named_struct('w', 1D, 'sum', 1D, 'k', z.low), (b, i) -> named_struct(
+      'w', b.w * {ratio}, 'sum', b.sum + b.w * {ratio}, 'k', if(b.sum < y, i + 1L, b.k)), b -> b.k)"""
+    return f"""transform(array(named_struct('low', greatest({least}, {likely} - ({reach})), 'high', least({most}, {likely} + ({reach})))),
+      z -> transform(array({draw} * {total}), y -> {chosen})[0])[0]"""
+
+
 def mixing_plan(rows: DataFrame, shards: int | None = None, **options) -> tuple[DataFrame, DataFrame]:
     """(placed rows, plan per block): the plan lists the shard of each of a block's draws, in order of passes."""
     spark = rows.sparkSession
@@ -186,7 +199,7 @@ def mixing_plan(rows: DataFrame, shards: int | None = None, **options) -> tuple[
     leaves = stored(split_quotas(quotas, max(0, math.ceil(math.log2(max(shards, 1))))), "leaves")
     before = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     first = F.coalesce(F.sum("quota").over(before), F.lit(0)) + 1
-    slots = leaves.withColumn("first", first).select("sid", "shard", F.explode(F.sequence("first", F.col("first") + F.col("quota") - 1)).alias("draw"))
+    slots = leaves.withColumn("first", first).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard").select("sid", "shard", F.explode(F.sequence("first", F.col("first") + F.col("quota") - 1)).alias("draw"))
     draws = plan.where("draws > 0").select("sid", "block", F.posexplode(F.sequence(F.lit(0), F.col("draws") - 1)).alias("p", "turn"), "place", "last_place", "full", "in_source")
     place = F.when(F.col("turn") < F.col("full"), F.col("place")).otherwise(F.col("last_place"))
     draws = draws.select("sid", "block", "turn", (F.col("turn") * F.col("in_source") + place).alias("draw"))
