@@ -187,8 +187,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id
     earlier = lambda w: w.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     fulls = counted.groupBy("part").agg(F.sum("full").alias("full")).select("part", F.coalesce(F.sum("full").over(earlier(Window.partitionBy())), F.lit(0)).alias("full_before"))
     rest_before = F.coalesce(F.sum("rests").over(earlier(Window.partitionBy("rest"))), F.lit(0))
-    offsets = counted.select("part", "rest", rest_before.alias("rest_before")).join(fulls, "part")
-    ranked = tokens.join(offsets, ["part", "rest"]).select("doc_id", "ids", (F.col("rest_before") + F.col("rest_local")).alias("rest_rank"), (F.col("full_before") + F.col("full_local")).alias("full_rank"))
+    # One row per task, of at most ``length`` entries: adaptive execution broadcasts them while they are small.
+    entries = F.map_from_entries(F.collect_list(F.struct("rest", "rest_before")))
+    offsets = counted.select("part", "rest", rest_before.alias("rest_before")).groupBy("part").agg(entries.alias("rests_before")).join(fulls, "part")
+    rest_rank = F.element_at("rests_before", F.col("rest")) + F.col("rest_local")
+    ranked = tokens.join(offsets, "part").select("doc_id", "ids", rest_rank.alias("rest_rank"), (F.col("full_before") + F.col("full_local")).alias("full_rank"))
     kind = tokens.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return ranked.mapInArrow(_cut(plan.arrays(), length), schema)
