@@ -10,13 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one is set only where the session names none."""
+    """The folder that all executors share, as the session names it.
+
+    Only a local session that names none gets a temporary one; on a cluster that is an error, as
+    executors could not read each other's files.
+    """
     sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="churnlens-")
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not path and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = path or "file://" + tempfile.mkdtemp(prefix="churnlens-")
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
-    return path
+    return path.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
