@@ -7,12 +7,11 @@ it was running, and the table is computed exactly once.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans.storage import ship
+from ..plans.storage import shared_dir, ship
 
 #: ASCII white space, the only separators of words: space, and 0x09 to 0x0D.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -20,17 +19,6 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"\x20\x09-\x0D"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one is set only where the session names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="churnlens-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/churnlens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
