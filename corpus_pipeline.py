@@ -4,6 +4,13 @@ Quality classifier, exact dedup, MinHash near-dedup, mixing sources to target we
 stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return
 the columns of ``documents``. Between stages the documents are written as Parquet to the shared
 folder and read again, so a stage that fails is repeated from its input.
+
+Defined results: a null text counts as empty everywhere; the classifier scores an empty text like any
+other, and what it rejects goes; of equal texts one row stays (all empty texts are equal, and of
+repeated rows one stays); documents without words are near copies of none; a null id has no near
+copies and stays; a null source is a source of its own; a document that the mix takes more than once
+is packed more than once, and one that it takes not at all goes; empty tables give an empty result;
+further columns go through all stages but packing, whatever their names.
 """
 
 from __future__ import annotations
