@@ -15,31 +15,38 @@ from .text import base_name
 
 
 def python_references(path: str, source: str) -> list[str]:
-    """Dotted names a Python file imports; relative imports are resolved against its package; none on a syntax error.
+    """Dotted names a Python file imports; none on a syntax error.
 
-    ``from base import name`` offers both ``base`` and ``base.name``: only the index knows which is a module.
+    ``from base import name`` offers both ``base`` and ``base.name``: only the index knows which is a module;
+    a star offers ``base.*``, all modules right below. A relative import starts at the folder of the file (of an
+    ``__init__`` file: the folder above its package) and gives nothing where it climbs beyond the root.
     """
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError):
         return []
-    package = path.rsplit("/", 1)[0].split("/") if "/" in path else []
+    folders = path.split("/")[:-1]
+    if re.fullmatch(r"__init__\.pyi?", base_of(path)):
+        folders = folders[:-1]
     found: dict[str, None] = {}
     for node in ast.walk(tree):
         if isinstance(node, ast.Import):
             found.update(dict.fromkeys(a.name for a in node.names))
         elif isinstance(node, ast.ImportFrom):
-            above = package[: len(package) - node.level + 1] if node.level else []
-            base = ".".join([*above, *([node.module] if node.module else [])])
+            up = max(node.level - 1, 0)
+            if up > len(folders):
+                continue
+            start = folders[: len(folders) - up] if node.level else []
+            base = ".".join([*start, *([node.module] if node.module else [])])
             if base:
-                found[base] = None
-            for a in node.names:
-                name = a.name if a.name != "*" else ""
-                if name:
-                    found[f"{base}.{name}" if base else name] = None
+                found.update(dict.fromkeys([base, *(f"{base}.{a.name}" for a in node.names)]))
     return list(found)
 
 
+def base_of(path: str) -> str:
+    return path.rsplit("/", 1)[-1]
+
+
 def python_imports(sources: DataFrame) -> DataFrame:
     """(src, ref) of the Python files in (path, source)."""
     ship(sources.sparkSession)

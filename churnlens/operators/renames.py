@@ -28,29 +28,29 @@ def _fold(rows):
     return rows.sort_values("pos", kind="stable").assign(new_path=targets)
 
 
-def folded(renames: DataFrame, repo: str | None = None) -> DataFrame:
-    """(repo, pos, old_path, new_path): renames are few; a repository's are folded in order in one task."""
+def folded(renames: DataFrame, *repo: str) -> DataFrame:
+    """(repo..., pos, old_path, new_path): renames are few; a repository's are folded in order in one task."""
     ship(renames.sparkSession)
-    rows = renames.select((F.col(repo) if repo else F.lit("")).alias("repo"), "pos", "old_path", "new_path")
-    return rows.groupBy("repo").applyInPandas(_fold, rows.schema)
+    rows = renames.select(*repo, F.lit(0).alias("_one"), "pos", "old_path", "new_path")
+    return rows.groupBy("_one", *repo).applyInPandas(_fold, rows.schema).drop("_one")
 
 
-def canonical_paths(touches: DataFrame, renames: DataFrame, most_hops: int = 64) -> DataFrame:
-    """``touches`` (pos, path, ...) with ``canonical``: an as-of join on the names, repeated until no name changes.
+def canonical_paths(touches: DataFrame, renames: DataFrame, *repo: str) -> DataFrame:
+    """``touches`` (repo..., pos, path, ...) with ``canonical``: an as-of join on the names, repeated until no name changes.
 
+    ``repo`` names the columns that tell repositories apart: names of one say nothing about another.
     A row goes on from the targets of renames as they stood at its own line, so ``pos`` stays the
-    touch's. Only distinct (pos, path) pairs that a rename names are chased.
+    touch's. Only distinct (repo, pos, path) rows are chased; a row ends at a name without a rename
+    or met before, so the rounds end.
     """
-    alias = cut(folded(renames).select("old_path", F.col("pos").alias("at"), "new_path"))
-    keys = touches.select("pos", "path").distinct()
-    state = cut(keys.withColumns({"name": F.col("path"), "met": F.array("path"), "open": F.lit(True)}))
-    for _ in range(most_hops):
-        moving = state.where("open")
-        near = moving.join(alias, (moving["name"] == alias["old_path"]) & (alias["at"] < moving["pos"]), "left")
-        near = near.groupBy("pos", "path", "name", "met").agg(F.max_by("new_path", "at").alias("next"))
+    key = [*repo, "pos", "path"]
+    alias = cut(folded(renames, *repo).select(*repo, F.col("old_path").alias("name"), F.col("pos").alias("at"), "new_path"))
+    state = cut(touches.select(*key).distinct().withColumns({"name": F.col("path"), "met": F.array("path"), "open": F.lit(True)}))
+    while not state.where("open").isEmpty():
+        near = state.where("open").join(alias, [*repo, "name"]).where("at < pos")
+        near = near.groupBy(*key).agg(F.max_by("new_path", "at").alias("next"))
+        moving = state.where("open").join(near, key, "left")
         going = F.coalesce(~F.array_contains("met", F.col("next")), F.lit(False))
-        stepped = near.select("pos", "path", F.coalesce("next", "name").alias("name"), F.when(going, F.array_append("met", F.col("next"))).otherwise(F.col("met")).alias("met"), going.alias("open"))
+        stepped = moving.select(*key, F.coalesce("next", "name").alias("name"), F.when(going, F.array_append("met", F.col("next"))).otherwise(F.col("met")).alias("met"), going.alias("open"))
         state = cut(state.where("NOT open").unionByName(stepped))
-        if state.where("open").isEmpty():
-            break
-    return touches.join(state.select("pos", "path", F.col("name").alias("canonical")), ["pos", "path"])
+    return touches.join(state.select(*key, F.col("name").alias("canonical")), key)

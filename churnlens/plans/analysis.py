@@ -7,7 +7,6 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..config import Settings
 from ..functions import source_code, text
@@ -114,10 +113,10 @@ def analyse(spark: SparkSession, repo: str, mode: str = "scan", since: str | Non
         doc["reasons"] = [{"rule": f"model:{r['feature']}", "label": features.FEATURES[r["feature"]], "points": round(r["impact"] * 100), "detail": f"{r['impact']:+.3f} log-odds", "path": None} for r in why]
     if settings.blast.enabled:
         edges = import_edges(sources)
-        order = Window.orderBy(F.desc("score"), "path")
-        roots = scored.select(F.col("path").alias("root"), F.row_number().over(order).alias("rank"))
-        per = graph.impact(edges, roots.where(F.col("rank") <= settings.blast.analyzed).select("root"), settings.blast).collect()
-        total = graph.rollup(edges, roots, settings.blast).first().asDict()
+        roots = scored.select(F.col("path").alias("root"), "score")
+        riskiest = [F.desc("score"), "root"]
+        per = graph.impact(edges, roots.orderBy(*riskiest).limit(settings.blast.analyzed).select("root"), settings.blast).collect()
+        total = graph.rollup(edges, roots, *riskiest, config=settings.blast).first().asDict()
         doc["blast_radius"] = {"analyzed": True} | total | {
             "max_depth": settings.blast.max_depth, "listed_limit": settings.blast.listed, "depth_capped": any(r["depth_capped"] for r in per), "hubs": sorted(r["root"] for r in per if r["is_hub"]),
             "cycle_files": sorted(r["root"] for r in per if r["in_cycle"]), "graph": {"files": sources.count(), "edges": edges.count(), "parsers": sorted(source_code.PARSERS)},

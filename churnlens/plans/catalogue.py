@@ -12,6 +12,7 @@ from ..functions import text
 from ..operators import features, graph, history, matching, metrics, renames, rules
 from ..sources import adapter
 from . import sql
+from .storage import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,12 +98,12 @@ def untracked_anti(spark, sf):
 
 @query(sql.TOUCHES + """SELECT path, CAST(sum(lines_added) AS BIGINT) AS lines_added, CAST(sum(lines_deleted) AS BIGINT) AS lines_deleted FROM touches
   WHERE seq > (SELECT quantile_disc(seq, 0.9) FROM commits) GROUP BY path
-  UNION ALL SELECT DISTINCT 'untracked/' || CAST(p_partkey AS VARCHAR), CAST(p_size AS BIGINT), CAST(0 AS BIGINT) FROM part WHERE p_partkey % 100 = 1""")
+  UNION ALL SELECT DISTINCT 'untracked/' || CAST(p_partkey AS VARCHAR), CAST(p_size AS BIGINT), CAST(0 AS BIGINT) FROM part""")
 def working_tree(spark, sf):
     """Diffed files and untracked ones, each path once."""
     base = adapter.commits(spark, sf).agg(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY seq)").alias("base"))
     diff = adapter.touches(spark, sf).join(F.broadcast(base), F.col("seq") > F.col("base")).groupBy("path").agg(F.sum("lines_added").alias("lines_added"), F.sum("lines_deleted").alias("lines_deleted"))
-    new = adapter.table(spark, sf, "part").where("p_partkey % 100 = 1").select(F.concat(F.lit("untracked/"), F.col("p_partkey").cast("string")).alias("path"), F.col("p_size").cast("long").alias("lines_added"), F.lit(0).cast("long").alias("lines_deleted"))
+    new = adapter.table(spark, sf, "part").select(F.concat(F.lit("untracked/"), F.col("p_partkey").cast("string")).alias("path"), F.col("p_size").cast("long").alias("lines_added"), F.lit(0).cast("long").alias("lines_deleted"))
     return diff.unionByName(new.join(diff.select("path"), "path", "left_anti"))
 
 
@@ -136,7 +137,8 @@ def timing_features(spark, sf):
 
 def changed_files(spark, sf) -> DataFrame:
     """Every file of every commit, with what was known before it and the repository's thresholds."""
-    touched = adapter.touches(spark, sf)
+    # Written once: history, paths, thresholds and tests all read it.
+    touched = written(adapter.touches(spark, sf).select("sha", "path", "seq", "author", "is_bugfix", "when_local", "l_partkey", "lines_added", "lines_deleted"), "touches")
     run = history.running_history(touched)
     per = run.groupBy("sha", "path", "author", "when_local", "l_partkey").agg(
         F.sum("lines_added").alias("lines_added"), F.sum("lines_deleted").alias("lines_deleted"), F.max("prior_commits").alias("prior_commits"), F.max("prior_fixes").alias("prior_fixes"), F.max("prior_by_author").alias("prior_by_author")
@@ -252,13 +254,15 @@ def edges(spark, sf):
     return adapter.edges(spark, sf)
 
 
-def _roots(spark, sf):
-    return adapter.edges(spark, sf).select(F.col("dst").alias("root")).where("root % 20 = 7").distinct()
+def _graph(spark, sf):
+    """(edges, roots): the edges written once, since the loops read them every round; every file that is imported is a root."""
+    edges = written(adapter.edges(spark, sf), "edges")
+    return edges, edges.select(F.col("dst").alias("root")).distinct()
 
 
 @query(sql.REACHED + "SELECT root, node, depth FROM reached")
 def reverse_bfs(spark, sf):
-    return graph.dependents(adapter.edges(spark, sf), _roots(spark, sf))
+    return graph.dependents(*_graph(spark, sf))
 
 
 def _joined(c):
@@ -267,24 +271,22 @@ def _joined(c):
 
 @query(sql.IMPACT + "SELECT * FROM impact")
 def impact_per_file(spark, sf):
-    return graph.impact(adapter.edges(spark, sf), _roots(spark, sf)).select("root", "direct_count", "transitive_count", _joined("direct"), _joined("transitive"), "in_cycle", "depth_capped", "is_hub")
+    return graph.impact(*_graph(spark, sf)).select("root", "direct_count", "transitive_count", _joined("direct"), _joined("transitive"), "in_cycle", "depth_capped", "is_hub")
 
 
-@query(sql.REACHED + """SELECT count(*) FILTER (depth = 1) AS direct_count, count(*) FILTER (depth > 1) AS transitive_count, CAST(0 AS BIGINT) AS files_omitted
-  FROM (SELECT node, min(depth) AS depth FROM reached WHERE node NOT IN (SELECT root FROM roots) GROUP BY node)""")
+@query(sql.rolled_up(40))
 def impact_rollup(spark, sf):
-    changed = _roots(spark, sf).withColumn("rank", F.row_number().over(Window.orderBy("root")))
-    return graph.rollup(adapter.edges(spark, sf), changed)
+    return graph.rollup(*_graph(spark, sf), "root")
 
 
 @query(sql.EDGES + ", reach(src, dst) AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src) SELECT DISTINCT src AS node FROM reach WHERE src = dst")
 def cycles(spark, sf):
-    return graph.cyclic_nodes(adapter.edges(spark, sf))
+    return graph.cyclic_nodes(_graph(spark, sf)[0])
 
 
-@query(sql.EDGES + "SELECT dst AS path, count(*) AS importers FROM edges GROUP BY dst HAVING count(*) >= 8")
+@query(sql.EDGES + "SELECT dst AS path, count(*) AS importers FROM edges GROUP BY dst HAVING count(*) >= 20")
 def hubs(spark, sf):
-    return adapter.edges(spark, sf).groupBy(F.col("dst").alias("path")).agg(F.count(F.lit(1)).alias("importers")).where("importers >= 8")
+    return adapter.edges(spark, sf).groupBy(F.col("dst").alias("path")).agg(F.count(F.lit(1)).alias("importers")).where("importers >= 20")
 
 
 def _references(spark, sf):

@@ -112,9 +112,23 @@ firsts AS (SELECT sha, hint, min(place) AS place FROM placed JOIN hints USING (r
 two AS (SELECT sha, string_agg(hint, '; ' ORDER BY place) AS hint FROM (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY place) AS n FROM firsts) WHERE n <= 2 GROUP BY sha)
 SELECT sha, CASE WHEN hint IS NULL THEN head ELSE head || ' Suggested: ' || hint || '.' END AS recommendation FROM change_scores JOIN heads USING (band) LEFT JOIN two USING (sha)"""
 SCORED = "WITH scored AS (SELECT toxic AS label, CAST(n_chars AS DOUBLE) AS score FROM labels JOIN documents USING (doc_id)) "
-EDGES = "WITH RECURSIVE edges AS (SELECT DISTINCT l_partkey % 300 AS src, l_suppkey % 100 AS dst FROM lineitem WHERE l_orderkey % 97 = 0 AND l_partkey % 300 <> l_suppkey % 100) "
-_WALK = """, roots AS (SELECT DISTINCT dst AS root FROM edges WHERE dst % 20 = 7), walk(root, node, depth) AS (SELECT root, root, 0 FROM roots UNION SELECT w.root, e.src, w.depth + 1 FROM walk w JOIN edges e ON e.dst = w.node WHERE w.depth < 4),
+EDGES = "WITH RECURSIVE edges AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_partkey <> l_suppkey) "
+
+
+def _walk(roots: str) -> str:
+    return f""", roots AS ({roots}), walk(root, node, depth) AS (SELECT root, root, 0 FROM roots UNION SELECT w.root, e.src, w.depth + 1 FROM walk w JOIN edges e ON e.dst = w.node WHERE w.depth < 4),
 near AS (SELECT root, node, min(depth) AS depth FROM walk GROUP BY root, node), reached AS (SELECT root, node, CAST(depth AS INT) AS depth FROM near WHERE depth BETWEEN 1 AND 3) """
+
+
+_WALK = _walk("SELECT DISTINCT dst AS root FROM edges")
+
+
+def rolled_up(analyzed: int) -> str:
+    """The reach of all imported files as one change, of which the first ``analyzed`` are looked at."""
+    return EDGES + _walk(f"SELECT DISTINCT dst AS root FROM edges ORDER BY root LIMIT {analyzed}") + f"""SELECT count(*) FILTER (depth = 1) AS direct_count, count(*) FILTER (depth > 1) AS transitive_count,
+  (SELECT greatest(count(DISTINCT dst) - {analyzed}, 0) FROM edges) AS files_omitted FROM (SELECT node, min(depth) AS depth FROM reached WHERE node NOT IN (SELECT dst FROM edges) GROUP BY node)"""
+
+
 REACHED = EDGES + _WALK
 IMPACT = REACHED + """, reach(src, dst) AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src), loops AS (SELECT DISTINCT src FROM reach WHERE src = dst),
 ordered AS (SELECT *, row_number() OVER (PARTITION BY root, depth = 1 ORDER BY node) AS n FROM reached),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import subprocess
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,25 @@ def resolve_base(repo: str, base: str | None = None) -> tuple[str, str]:
     raise ValueError(f"no base branch found in {repo}")
 
 
+def blobs(repo: str, ref: str, max_bytes: int):
+    """(path, text) of a tree's files up to ``max_bytes``, by two processes however many files there are."""
+    listing = git(repo, "ls-tree", "-r", "-l", "-z", ref)
+    wanted = []
+    for entry in listing.split("\0"):
+        facts, _, path = entry.partition("\t")
+        if path and facts.split()[1] == "blob" and int(facts.split()[3]) <= max_bytes:
+            wanted.append((path, facts.split()[2]))
+    with tempfile.TemporaryFile() as asked:  # read by the process as it goes, so neither side waits for the other
+        asked.write("".join(f"{name}\n" for _, name in wanted).encode())
+        asked.seek(0)
+        with subprocess.Popen(["git", "-C", repo, "cat-file", "--batch"], stdin=asked, stdout=subprocess.PIPE) as answers:
+            for path, _ in wanted:
+                size = int(answers.stdout.readline().split()[2])
+                content = answers.stdout.read(size)
+                answers.stdout.read(1)
+                yield path, content.decode("utf-8", "replace")
+
+
 class _Reader(DataSourceReader):
     def __init__(self, kind: str, options):
         self.kind, self.options = kind, dict(options)
@@ -68,10 +88,8 @@ class _Reader(DataSourceReader):
             for pos, line in enumerate(listing.splitlines()):
                 yield repo, pos, line
         else:
-            for pos, path in enumerate(git(repo, "ls-tree", "-r", "--name-only", option("ref") or "HEAD").splitlines()):
-                size = int(git(repo, "cat-file", "-s", f"{option('ref') or 'HEAD'}:{path}"))
-                if size <= int(option("max_bytes") or 400_000):
-                    yield repo, pos, path + FIELD + git(repo, "show", f"{option('ref') or 'HEAD'}:{path}")
+            for pos, (path, content) in enumerate(blobs(repo, option("ref") or "HEAD", int(option("max_bytes") or 400_000))):
+                yield repo, pos, path + FIELD + content
 
 
 def _source(kind: str) -> type[DataSource]:
@@ -102,8 +120,23 @@ def register(spark: SparkSession) -> None:
 
 def log_text(spark: SparkSession, path: str) -> DataFrame:
     """(repo, pos, line) of log text that lies in files already."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("repo"), F.posexplode(F.filter(F.split("value", RECORD), lambda x: F.trim(x) != "")).alias("pos", "line"))
-    return rows.withColumn("pos", F.col("pos").cast("long"))
+    # A row per record; the block's start and the place in its partition order the records of a file.
+    rows = spark.read.option("lineSep", RECORD).text(path).select(F.input_file_name().alias("repo"), F.monotonically_increasing_id().alias("at"), F.input_file_block_start().alias("block"), F.col("value").alias("line"))
+    rows = cut(rows.where(F.trim("line") != ""))
+    order = Window.partitionBy("repo").orderBy("block", "at")
+    return rows.select("repo", (F.row_number().over(order) - 1).cast("long").alias("pos"), "line")
+
+
+def log_stats(records: DataFrame, max_commits: int | None = None) -> DataFrame:
+    """Per repository: records read, those left out as unreadable, and whether the limit was reached (an exact fit counts)."""
+    fields = _fields(records)
+    bad = (F.size("f") != 4) | text.commit_instant(F.try_element_at("f", F.lit(3))).isNull()
+    per = fields.groupBy("repo").agg(F.count(F.lit(1)).alias("records"), F.count_if(bad).alias("skipped"))
+    return per.withColumn("truncated", F.col("records") >= max_commits if max_commits else F.lit(False))
+
+
+def _fields(records: DataFrame) -> DataFrame:
+    return records.withColumn("f", F.split(F.substring_index("line", "\n", 1), FIELD))
 
 
 def parse_log(records: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -111,8 +144,7 @@ def parse_log(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A touch has ``pos``, a number that counts numstat lines newest first, and ``old_path`` where it is a rename.
     """
-    header = F.split(F.substring_index("line", "\n", 1), FIELD)
-    parsed = records.withColumns({"f": header, "body": F.regexp_replace("line", r"^[^\n]*\n?", "")}).where(F.size("f") == 4)
+    parsed = _fields(records).withColumn("body", F.regexp_replace("line", r"^[^\n]*\n?", "")).where(F.size("f") == 4)
     parsed = parsed.select(
         "repo", F.col("pos").alias("record"), F.col("f")[0].alias("sha"), F.when(F.col("f")[1] == "", "unknown").otherwise(F.col("f")[1]).alias("author"),
         text.commit_instant(F.col("f")[2]).alias("when_ts"), text.commit_wall_clock(F.col("f")[2]).alias("when_local"), F.col("f")[3].alias("subject"), "body",
@@ -136,8 +168,8 @@ def read_log(spark: SparkSession, repos: str, until: str | None = None, max_comm
     for key, value in (("until", until), ("max_commits", max_commits)):
         reader = reader.option(key, value) if value else reader
     commits, touches = parse_log(cut(reader.load()))
-    renames = touches.where("old_path IS NOT NULL").select("pos", "old_path", F.col("path").alias("new_path"))
-    return commits, canonical_paths(touches, renames).drop("path").withColumnRenamed("canonical", "path")
+    renames = touches.where("old_path IS NOT NULL").select("repo", "pos", "old_path", F.col("path").alias("new_path"))
+    return commits, canonical_paths(touches, renames, "repo").drop("path").withColumnRenamed("canonical", "path")
 
 
 def blame_inducing(fixes: DataFrame, parallel: int = 64) -> DataFrame:

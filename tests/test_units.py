@@ -77,6 +77,13 @@ def test_renames_equal_a_walk_of_the_log(spark):
     assert {(r["pos"], r["path"]): r["canonical"] for r in got.collect()} == expected
 
 
+def test_renames_stay_in_their_repository(spark):
+    touches = spark.createDataFrame([("x", 5, "a.py"), ("y", 5, "a.py")], "repo string, pos long, path string")
+    moves = spark.createDataFrame([("x", 1, "a.py", "b.py")], "repo string, pos long, old_path string, new_path string")
+    got = {r["repo"]: r["canonical"] for r in renames.canonical_paths(touches, moves, "repo").collect()}
+    assert got == {"x": "b.py", "y": "a.py"}
+
+
 def test_metrics(spark):
     def both(pairs):
         d = spark.createDataFrame(pairs, "label int, score double")
@@ -103,9 +110,12 @@ def test_graph(spark):
 
 
 def test_imports(spark):
-    sources = [("pkg/a.py", "import os\nfrom .b import c\nfrom .. import d"), ("pkg/bad.py", "def ("), ("src/x/K.java", "package x;\nimport y.Z;\nimport static y.Q.run;\nimport w.*;\n")]
+    sources = [("pkg/a.py", "import os\nfrom .b import c\nfrom .. import d\nfrom ...far import e\nfrom .q import *"), ("pkg/bad.py", "def ("), ("src/x/K.java", "package x;\nimport y.Z;\nimport static y.Q.run;\nimport w.*;\n")]
     d = spark.createDataFrame(sources, "path string, source string")
-    assert {tuple(r) for r in source_code.python_imports(d).collect()} == {("pkg/a.py", x) for x in ("os", "pkg.b", "pkg.b.c", "d")}
+    assert {tuple(r) for r in source_code.python_imports(d).collect()} == {("pkg/a.py", x) for x in ("os", "pkg.b", "pkg.b.c", "pkg.q", "pkg.q.*")}
+    relative = source_code.python_references
+    assert relative("a/b/c/m.py", "from .....x import y") == [] and relative("a/b/c/m.py", "from ..x import y") == ["a.b.x", "a.b.x.y"]
+    assert relative("a/b/__init__.py", "from . import z") == ["a", "a.z"] and relative("m.py", "from . import z") == []
     assert {r["ref"] for r in source_code.java_imports(d).collect()} == {"y.Z", "y.Q", "w.*"}
     assert [tuple(r) for r in source_code.java_names(d).collect()] == [("x.K", "src/x/K.java")]
     index = spark.createDataFrame([("y.Z", "Z.java"), ("w.A", "A.java"), ("w.A.b", "b.java")], "name string, path string")
