@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from churnlens.config import Blast, Settings
 from churnlens.functions import source_code, text
 from churnlens.operators import graph, history, metrics, renames
-from churnlens.plans import payload
+from churnlens.plans import comment, payload
 
 
 def column(spark, values, f):
@@ -135,9 +135,13 @@ def test_payload(spark):
     doc = json.loads(extras.payload_json(spark, "/root/testdata/sf0.001").first()["payload"])
     assert doc["schema_version"] == 5 and doc["blast_radius"] == {"analyzed": False, "direct_count": 0, "transitive_count": 0} and "ai_explanation" in doc
     assert doc["files"] == sorted(doc["files"], key=lambda f: (-f["score"], f["path"]))
-    said = payload.comment(doc | {"score": 80, "band": "high"}, threshold=65)
-    assert said.startswith(payload.MARKER) and "Above the configured threshold of 65" in said
-    assert payload.exceeds({"score": 65}, 65) and not payload.exceeds({}, 1)
+    blast = {"analyzed": True, "direct_count": 1, "transitive_count": 2, "max_depth": 3, "direct": ["x.py"], "hubs": ["h.py"], "cycle_files": ["c.py"], "files_omitted": 4}
+    told = {"available": True, "generated_by": "w", "summary": "because", "rollout": ""}
+    said = comment.comment(doc | {"score": 80, "band": "high", "blast_radius": blast, "ai_explanation": told, "warnings": ["old model"]}, threshold=65)
+    assert said.startswith(comment.MARKER) and "set to 65" in said and "80 of 100, high" in said
+    assert all(x in said for x in ("`x.py`", "`h.py`", "`c.py`", "4 less risky", "because", "old model"))
+    assert "gate" not in comment.comment({}, threshold=65) and "How to ship" not in said
+    assert comment.exceeds({"score": 65}, 65) and not comment.exceeds({}, 1)
 
 
 def test_settings():
