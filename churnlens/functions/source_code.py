@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -59,6 +60,14 @@ def python_imports(sources: DataFrame) -> DataFrame:
     return sources.where(F.col("path").rlike(r"\.pyi?$")).select("path", "source").mapInPandas(run, "src string, ref string")
 
 
+def module_names(paths: DataFrame) -> DataFrame:
+    """(name, path): every dotted suffix of a Python file's path; a package's own name for its __init__."""
+    bare = F.regexp_replace(F.regexp_replace(F.col("path"), r"\.pyi?$", ""), "/__init__$", "")
+    parts = F.split(bare, "/")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    return paths.where(F.col("path").rlike(r"\.pyi?$")).select(F.explode(suffixes).alias("name"), "path").distinct()
+
+
 def java_imports(sources: DataFrame) -> DataFrame:
     """(src, ref) of the Java files, by regular expressions in the JVM; a static import refers to its class."""
     java = sources.where(F.col("path").endswith(".java"))
@@ -75,8 +84,18 @@ def java_names(sources: DataFrame) -> DataFrame:
     return java.select(F.when(package != "", F.concat(package, F.lit("."), stem)).otherwise(stem).alias("name"), "path")
 
 
-#: Languages by registry name, with what finds their references.
-PARSERS = {"python": python_imports, "java": java_imports}
+class Parser(NamedTuple):
+    """A language: (path, source) to (src, ref), to (name, path), and the endings of the paths it reads."""
+
+    references: Callable[[DataFrame], DataFrame]
+    names: Callable[[DataFrame], DataFrame]
+    suffixes: tuple[str, ...]
+
+
+#: Languages by registry name; further ones are added here.
+PARSERS = {"python": Parser(python_imports, module_names, ("py", "pyi")), "java": Parser(java_imports, java_names, ("java",))}
+#: Endings of the paths that any parser reads.
+PARSED = tuple(x for p in PARSERS.values() for x in p.suffixes)
 
 _BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.comprehension, ast.Assert)
 _BRACE_BRANCH = re.compile(r"\b(?:if|for|while|case|catch)\b|&&|\|\||\?")

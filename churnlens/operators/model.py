@@ -163,19 +163,20 @@ def train(rows: DataFrame, config: Training = Training()) -> tuple[GBTClassifica
 
 
 def contributions(rows: DataFrame, trees: Trees, key: str = "sha", most: int = Training.top_contributions) -> DataFrame:
-    """(key, place, feature, impact): the features that move a row's log-odds most, none of zero."""
+    """(key, place, feature, impact, value): the features that move a row's log-odds most, none of zero."""
     ship(rows.sparkSession)
 
     def run(frames):
         for frame in frames:
-            impact, _ = trees.contributions(_matrix(frame))
+            values = _matrix(frame)
+            impact, _ = trees.contributions(values)
             out = []
-            for k, row in zip(frame[key], impact, strict=True):
+            for k, row, value in zip(frame[key], impact, values, strict=True):
                 order = [i for i in np.argsort(-np.abs(row), kind="stable")[:most] if row[i] != 0]
-                out += [(k, place + 1, NAMES[i], float(row[i])) for place, i in enumerate(order)]
-            yield pd.DataFrame(out, columns=[key, "place", "feature", "impact"])
+                out += [(k, place + 1, NAMES[i], float(row[i]), float(value[i])) for place, i in enumerate(order)]
+            yield pd.DataFrame(out, columns=[key, "place", "feature", "impact", "value"])
 
-    return rows.mapInPandas(run, f"{key} string, place int, feature string, impact double")
+    return rows.mapInPandas(run, f"{key} string, place int, feature string, impact double, value double")
 
 
 def as_scores(predicted: DataFrame, w: RiskWeights = RiskWeights()) -> DataFrame:
@@ -209,10 +210,10 @@ def save(model: GBTClassificationModel, path: str, facts: dict) -> None:
     spark.createDataFrame([(json.dumps({"features": NAMES} | facts),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/sidecar")
 
 
-def load(spark: SparkSession, path: str) -> tuple[GBTClassificationModel, dict] | None:
-    """None if there is no model, it can't be read, or it was trained on other features."""
+def load(spark: SparkSession, path: str) -> tuple[GBTClassificationModel | None, dict] | None:
+    """(model, facts); no model if it was trained on other features; None if there is none or it can't be read."""
     try:
         facts = json.loads(spark.read.text(f"{path}/sidecar").first()[0])
-        return (GBTClassificationModel.load(f"{path}/model"), facts) if facts.get("features") == NAMES else None
+        return GBTClassificationModel.load(f"{path}/model") if facts.get("features") == NAMES else None, facts
     except Exception:  # noqa: BLE001  whatever is wrong with it, rules take over
         return None

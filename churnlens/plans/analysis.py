@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import json
+import os
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import __version__
 from ..config import Settings
 from ..functions import source_code, text
 from ..operators import features, graph, history, matching, model, rules
 from ..sources import gitlog
-from . import payload
+from . import narrative, payload
 from .storage import cut
 
 #: Files of our own that a change never counts.
@@ -36,16 +38,23 @@ def diffed(lines: DataFrame) -> DataFrame:
 
 
 def untracked(spark: SparkSession, repo: str) -> DataFrame:
-    """New files with their line counts; what isn't text counts 0."""
-    from pathlib import Path
+    """New files with their line counts, read where the tasks run; what isn't text counts 0."""
+    root = os.path.abspath(repo)
 
-    rows = []
-    for r in _load(spark, "gitfiles", repo, untracked="1").collect():  # of one working tree
-        try:
-            rows.append((r["line"], len((Path(repo) / r["line"]).read_text(encoding="utf-8").splitlines()), 0))
-        except (OSError, UnicodeDecodeError):
-            rows.append((r["line"], 0, 0))
-    return spark.createDataFrame(rows, "path string, lines_added long, lines_deleted long")
+    def run(frames):
+        import pandas as pd
+
+        for frame in frames:
+            lines = []
+            for path in frame["line"]:
+                try:
+                    with open(os.path.join(root, path), encoding="utf-8") as f:
+                        lines.append(len(f.read().splitlines()))
+                except (OSError, UnicodeDecodeError):
+                    lines.append(0)
+            yield pd.DataFrame({"path": frame["line"], "lines_added": lines, "lines_deleted": 0})
+
+    return _load(spark, "gitfiles", repo, untracked="1").select("line").mapInPandas(run, "path string, lines_added long, lines_deleted long")
 
 
 def changed(spark: SparkSession, repo: str, mode: str, since: str | None = None) -> tuple[DataFrame, dict]:
@@ -72,24 +81,92 @@ def changed(spark: SparkSession, repo: str, mode: str, since: str | None = None)
     return files.where(~F.col("path").startswith(OWN)), facts | {"mode": mode, "description": MODES[mode]}
 
 
+def import_names(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((src, ref), (name, path)) of the files of (path, source), by all registered parsers."""
+    references = index = None
+    for parser in source_code.PARSERS.values():
+        refs, names = parser.references(sources), parser.names(sources)
+        references, index = (refs, names) if references is None else (references.unionByName(refs), index.unionByName(names))
+    return cut(references), cut(index.distinct())
+
+
 def import_edges(sources: DataFrame) -> DataFrame:
-    """Import edges between the files of (path, source), by all parsers."""
-    references = source_code.python_imports(sources).unionByName(source_code.java_imports(sources))
-    index = graph.module_names(sources).unionByName(source_code.java_names(sources)).distinct()
-    return cut(graph.build_edges(references, index))
+    """Import edges between the files of (path, source)."""
+    return cut(graph.build_edges(*import_names(sources)))
 
 
-def analyse(spark: SparkSession, repo: str, mode: str = "scan", since: str | None = None, settings: Settings = Settings(), trees: model.Trees | None = None) -> dict:
-    """The payload of the repository's present change, scored by rules, or by a model if one is given."""
+def model_path(repo: str) -> str:
+    """Where training leaves a repository's model."""
+    return f"file://{os.path.abspath(repo)}/{OWN}model"
+
+
+def sources_of(spark: SparkSession, repo: str, mode: str, settings: Settings) -> DataFrame:
+    """(path, source) of the tracked files that a parser reads: as they lie in the working tree if that is in scope, else of HEAD."""
+    if mode == "scan":
+        blobs = _load(spark, "gitblob", repo, max_bytes=str(settings.blast.max_bytes))
+        found = blobs.select(F.substring_index("line", gitlog.FIELD, 1).alias("path"), F.regexp_replace("line", f"^[^{gitlog.FIELD}]*{gitlog.FIELD}", "").alias("source"))
+    else:
+        root = "file://" + os.path.abspath(repo)
+        tracked = _load(spark, "gitfiles", repo).unionByName(_load(spark, "gitfiles", repo, untracked="1")).select(F.col("line").alias("path")).distinct()
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{','.join(source_code.PARSED)}}}").load(root).where(F.col("length") <= settings.blast.max_bytes)
+        at = F.substring(F.regexp_replace("path", "^file:/+", "/"), len(os.path.abspath(repo)) + 2, 1 << 20)
+        found = files.select(at.alias("path"), F.call_function("make_valid_utf8", F.col("content").cast("string")).alias("source")).join(tracked, "path", "left_semi")
+    readable = cut(found.where(F.substring_index("path", ".", -1).isin(*source_code.PARSED)))
+    # The graph's limit: so many files at most, in order of their paths.
+    return readable.orderBy("path").limit(settings.blast.max_files)
+
+
+def scored_by_model(wide: DataFrame, trees: model.Trees, whole: bool, settings: Settings) -> dict:
+    """Score, band, reasons, files and recommendation by a model.
+
+    A file's score is that of a change of this file alone; without ``whole`` the worst file's is the headline.
+    """
+    single = cut(features.feature_vector(wide.withColumn("sha", F.col("path"))))
+    probable = model.as_scores(model.predict(single, trees), settings.weights).select(F.col("sha").alias("path"), "probability", "score", "band")
+    top = model.contributions(single, trees, most=1).select(F.col("sha").alias("path"), F.struct(*_MODEL_REASON).alias("top"))
+    listed = wide.select("path", "lines_added", "lines_deleted").join(probable, "path").join(top, "path", "left").orderBy(F.desc("probability"), "path").collect()
+    vector = features.feature_vector(wide) if whole else single.where(F.col("sha") == listed[0]["path"])
+    head = model.as_scores(model.predict(vector, trees), settings.weights).first()
+    reasons = [_told(r) for r in model.contributions(vector, trees, most=settings.training.top_contributions).orderBy("place").select(*_MODEL_REASON).collect()]
+    hints = list(dict.fromkeys(rules.HINTS[r["rule"]] for r in reasons if r["rule"] in rules.HINTS))[:2]
+    advice = rules.HEADLINES[head["band"]] + (f" Suggested: {'; '.join(hints)}." if hints else "")
+    files = [
+        {"path": r["path"], "score": r["score"], "band": r["band"], "lines_added": r["lines_added"], "lines_deleted": r["lines_deleted"], "reasons": [_told(r["top"], r["path"])] if r["top"] else []}
+        for r in listed
+    ]
+    # A change of one file has no ranking.
+    return {"scoring_method": "model", "score": head["score"], "band": head["band"], "recommendation": advice, "reasons": reasons, "files": files if len(files) > 1 or not whole else []}
+
+
+_MODEL_REASON = ("feature", "value", "impact")
+
+
+def _told(reason, path: str | None = None) -> dict:
+    """A contribution as a reason: points are hundredths of log-odds."""
+    return {
+        "rule": f"model:{reason['feature']}", "label": features.FEATURES[reason["feature"]], "points": round(reason["impact"] * 100),
+        "detail": f"value {reason['value']:g}; log-odds {reason['impact']:+.3f}", "path": path,
+    }
+
+
+def analyse(spark: SparkSession, repo: str, mode: str = "scan", since: str | None = None, settings: Settings = Settings(), saved: str | None = None) -> dict:
+    """The payload of the repository's present change, scored by its model (``saved``) if there is one that fits, else by rules."""
     files, scope = changed(spark, repo, mode, since)
     files = cut(files)
-    commits, touches = gitlog.read_log(spark, repo, until=scope["until"])
+    records = gitlog.read_records(spark, repo, until=scope["until"])
+    commits, touches = gitlog.followed(records)
     touches = cut(touches)
+    stats = gitlog.log_stats(records).agg(F.sum("skipped").alias("skipped")).first()
+    trees, facts, warnings = None, None, []
+    found = model.load(spark, saved or model_path(repo))
+    if found is not None and found[0] is None:
+        warnings.append("the saved model was fitted on other features and is not used; train it again")
+    elif found is not None:
+        trees, facts = model.trees_of(spark, found[0]), found[1]
     known = history.file_history(touches).select("path", F.col("total_commits").alias("prior_commits"), F.col("bugfix_commits").alias("prior_fixes"))
     mine = history.author_history(touches.where(F.col("author") == scope["author"])).select("path", F.col("author_commits").alias("prior_by_author"))
     tracked = _load(spark, "gitfiles", repo).select(F.col("line").alias("path")).unionByName(files.select("path")).distinct()
-    blobs = _load(spark, "gitblob", repo, max_bytes=str(settings.blast.max_bytes))
-    sources = blobs.select(F.substring_index("line", gitlog.FIELD, 1).alias("path"), F.regexp_replace("line", f"^[^{gitlog.FIELD}]*{gitlog.FIELD}", "").alias("source"))
+    sources = sources_of(spark, repo, mode, settings)
     ccn = source_code.complexity(sources).select("path", "max_ccn")
     zero = F.lit(0).cast("long")
     wide = files.join(known, "path", "left").join(mine, "path", "left").join(ccn, "path", "left").withColumns(
@@ -100,26 +177,33 @@ def analyse(spark: SparkSession, repo: str, mode: str = "scan", since: str | Non
     limits = history.calibrated(history.distribution(history.file_history(touches), settings.distribution), settings.weights, settings.distribution)
     scored = cut(rules.score_files(wide.crossJoin(F.broadcast(limits)), settings.weights))
     change = rules.score_changes(scored, settings.weights, change_rules=mode != "all")
-    found = payload.payloads(change, mode=mode).collect()
-    if not found:
-        return {"schema_version": payload.SCHEMA_VERSION, "score": 0, "band": "low", "recommendation": "Nothing to score — no files in scope.", "reasons": [], "files": [], "scope": scope, "warnings": []}
-    doc = json.loads(found[0]["payload"])
-    doc["scope"] |= {k: scope[k] for k in ("description", "base_ref", "base_commit")} | {"repo": repo, "commits_walked": commits.count(), "relative_thresholds": limits.first()["relative_thresholds"]}
+    known_scope = {k: scope[k] for k in ("mode", "description", "author", "base_ref", "base_commit")} | {
+        "repo": repo, "analyzed_at": scope["when"], "commits_walked": commits.count(), "commits_skipped": int(stats["skipped"] or 0), "files_analyzed": 0, "model": None,
+        "relative_thresholds": limits.first()["relative_thresholds"] if trees is None else False,
+    }
+    made = payload.payloads(change, mode=mode).collect()
+    if not made:
+        return payload.nothing(known_scope, warnings)
+    doc = json.loads(made[0]["payload"])
+    doc["scope"] = known_scope | {"files_analyzed": doc["scope"]["files_analyzed"]}
+    doc["warnings"] = warnings
     if trees is not None:
-        vector = features.feature_vector(wide)
-        risk = model.as_scores(model.predict(vector, trees), settings.weights).first()
-        why = model.contributions(vector, trees).orderBy("place").collect()
-        doc |= {"scoring_method": "model", "score": risk["score"], "band": risk["band"]}
-        doc["reasons"] = [{"rule": f"model:{r['feature']}", "label": features.FEATURES[r["feature"]], "points": round(r["impact"] * 100), "detail": f"{r['impact']:+.3f} log-odds", "path": None} for r in why]
+        doc |= scored_by_model(wide, trees, mode != "all", settings)
+        doc["scope"]["model"] = {k: facts.get(k) for k in ("trained_at", "rows", "positives", "commits_considered")}
     if settings.blast.enabled:
         edges = import_edges(sources)
+        risks = {f["path"]: f["score"] for f in doc["files"]} if trees is not None else None
         roots = scored.select(F.col("path").alias("root"), "score")
+        if risks:
+            roots = spark.createDataFrame(list(risks.items()), "root string, score int")
         riskiest = [F.desc("score"), "root"]
         per = graph.impact(edges, roots.orderBy(*riskiest).limit(settings.blast.analyzed).select("root"), settings.blast).collect()
         total = graph.rollup(edges, roots, *riskiest, config=settings.blast).first().asDict()
-        doc["blast_radius"] = {"analyzed": True} | total | {
+        lists = graph.listed(edges, roots, *riskiest, config=settings.blast)
+        skipped = graph.reference_counts(*import_names(sources)).first().asDict()
+        doc["blast_radius"] = {"analyzed": True} | total | lists | {
             "max_depth": settings.blast.max_depth, "listed_limit": settings.blast.listed, "depth_capped": any(r["depth_capped"] for r in per), "hubs": sorted(r["root"] for r in per if r["is_hub"]),
-            "cycle_files": sorted(r["root"] for r in per if r["in_cycle"]), "graph": {"files": sources.count(), "edges": edges.count(), "parsers": sorted(source_code.PARSERS)},
+            "cycle_files": sorted(r["root"] for r in per if r["in_cycle"]), "graph": {"files": sources.count(), "edges": edges.count(), "parsers": sorted(source_code.PARSERS)} | skipped,
             "per_file": [{"path": r["root"]} | {k: v for k, v in r.asDict().items() if k != "root"} for r in sorted(per, key=lambda r: (-(r["direct_count"] + r["transitive_count"]), r["root"]))],
         }
     return doc
@@ -128,33 +212,44 @@ def analyse(spark: SparkSession, repo: str, mode: str = "scan", since: str | Non
 def training_rows(spark: SparkSession, repo: str, settings: Settings = Settings()) -> DataFrame:
     """Leak-free features and labels of a repository's commits; labels by line blame of the fixes."""
     commits, touches = gitlog.read_log(spark, repo, max_commits=str(settings.training.max_commits))
-    running = history.running_history(cut(touches)).withColumn("max_ccn", F.lit(None).cast("int"))
+    touches = cut(touches)
+    running = history.running_history(touches).join(gitlog.complexity_then(touches), ["repo", "sha", "path"], "left")
     labels = history.labelled(commits, gitlog.blame_inducing(commits.where("is_bugfix"))).select("sha", "seq", "label")
     return features.feature_vector(running).join(labels, "sha")
 
 
 def main(arguments: list[str] | None = None) -> int:
-    """scan, diff, all, train or evaluate a repository; prints JSON. Ends with 2 on a repository's and 3 on a model's error."""
+    """scan, diff, all, train, evaluate or report on a repository; prints JSON (report: text), or the version. Ends with 2 on a repository's and 3 on a model's error."""
     import argparse
     import subprocess
     import sys
 
     parser = argparse.ArgumentParser(prog="churnlens")
-    parser.add_argument("command", choices=[*MODES, "train", "evaluate"])
+    parser.add_argument("command", choices=[*MODES, "train", "evaluate", "report", "version"])
     parser.add_argument("repo", nargs="?", default=".")
     parser.add_argument("--since")
-    parser.add_argument("--model", help="where train saves the model")
+    parser.add_argument("--model", help="where the model is saved")
     options = parser.parse_args(arguments)
+    if options.command == "version":
+        print(__version__)
+        return 0
     spark, settings = SparkSession.builder.getOrCreate(), Settings.from_env()
     try:
         if options.command in MODES:
-            print(json.dumps(analyse(spark, options.repo, options.command, options.since, settings), ensure_ascii=False))
+            print(json.dumps(analyse(spark, options.repo, options.command, options.since, settings, options.model), ensure_ascii=False))
+        elif options.command == "report":
+            print(narrative.report(analyse(spark, options.repo, "scan", options.since, settings, options.model)))
         elif options.command == "evaluate":
             print(json.dumps(model.evaluate(training_rows(spark, options.repo, settings), settings.training)))
         else:
             rows = cut(training_rows(spark, options.repo, settings))
             fitted, _ = model.train(rows, settings.training)
-            model.save(fitted, options.model or f"file://{options.repo}/{OWN}model", {"rows": rows.count(), "positives": rows.where("label = 1").count()})
+            total = rows.count()
+            facts = {"rows": total, "positives": rows.where("label = 1").count(), "commits_considered": total, "trained_at": datetime.now().isoformat()[:19]}
+            model.save(fitted, options.model or model_path(options.repo), facts)
+            if not options.model:  # results of our own are no part of the repository
+                with open(os.path.join(options.repo, OWN, ".gitignore"), "w", encoding="utf-8") as f:
+                    f.write("*\n")
     except (subprocess.CalledProcessError, OSError) as e:
         print(e, file=sys.stderr)
         return 2

@@ -36,7 +36,7 @@ def shap_topk(spark, sf):
 
     rows = cut(training_rows(spark, sf))
     _, trees = model.train(rows, CONFIG)
-    return model.contributions(rows, trees)
+    return model.contributions(rows, trees).drop("value")
 
 
 def _sources(spark, sf):

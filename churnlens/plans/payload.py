@@ -32,3 +32,11 @@ def payloads(changes: DataFrame, impact: DataFrame | None = None, key: str = "sh
     text = F.to_json(body, {"ignoreNullFields": "false"})
     # The impact is JSON already; it goes in before the last brace.
     return rows.select(key, F.concat(F.regexp_replace(text, r"\}$", ""), F.lit(',"blast_radius":'), blast, F.lit("}")).alias("payload"))
+
+
+def nothing(scope: dict, warnings: list[str]) -> dict:
+    """The payload of a scope without files."""
+    return {
+        "schema_version": SCHEMA_VERSION, "engine_version": __version__, "scoring_method": "rules", "score": 0, "band": "low", "recommendation": "Nothing to score — no files in scope.",
+        "scope": scope, "reasons": [], "files": [], "blast_radius": {"analyzed": False, "direct_count": 0, "transitive_count": 0}, "ai_explanation": None, "warnings": warnings,
+    }

@@ -159,19 +159,73 @@ def parse_log(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parsed.drop("body", "record"), lines
 
 
-def read_log(spark: SparkSession, repos: str, until: str | None = None, max_commits: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(commits, touches) of repositories; touches carry the names files have today."""
-    from ..operators.renames import canonical_paths
-
+def read_records(spark: SparkSession, repos: str, until: str | None = None, max_commits: int | None = None) -> DataFrame:
+    """(repo, pos, line): the raw records of repositories' logs."""
     register(spark)
     reader = spark.read.format("gitlog").option("path", repos)
     for key, value in (("until", until), ("max_commits", max_commits)):
         reader = reader.option(key, value) if value else reader
-    commits, touches = parse_log(cut(reader.load()))
+    return cut(reader.load())
+
+
+def followed(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(commits, touches) of raw records; touches carry the names files have today."""
+    from ..operators.renames import canonical_paths
+
+    commits, touches = parse_log(records)
     renames = touches.where("old_path IS NOT NULL").select("repo", "pos", "old_path", F.col("path").alias("new_path"))
     return commits, canonical_paths(touches, renames, "repo").drop("path").withColumnRenamed("canonical", "path")
 
 
+def read_log(spark: SparkSession, repos: str, until: str | None = None, max_commits: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(commits, touches) of repositories."""
+    return followed(read_records(spark, repos, until, max_commits))
+
+
+def complexity_then(touches: DataFrame, parallel: int = 64) -> DataFrame:
+    """(repo, sha, path, max_ccn): the complexity that code files had at each commit that touched them.
+
+    Files are looked up by the names they have today, so a file that has since been renamed has none.
+    Equal contents are judged once a task.
+    """
+    import pandas as pd
+
+    from ..functions.source_code import function_complexities
+
+    def run(frames):
+        known: dict[tuple[str, str], int | None] = {}
+        for frame in frames:
+            for repo, part in frame.groupby("repo"):
+                with tempfile.TemporaryFile() as asked:
+                    asked.write("".join(f"{s}:{p}\n" for s, p in zip(part["sha"], part["path"], strict=True)).encode())
+                    asked.seek(0)
+                    found = []
+                    with subprocess.Popen(["git", "-C", repo, "cat-file", "--batch"], stdin=asked, stdout=subprocess.PIPE) as answers:
+                        for path in part["path"]:
+                            head = answers.stdout.readline().decode("utf-8", "replace").rstrip("\n")
+                            fields = head.split(" ")
+                            if len(fields) != 3 or fields[-1] == "missing" or not fields[2].isdigit():
+                                found.append(None)
+                                continue
+                            content = answers.stdout.read(int(fields[2]))
+                            answers.stdout.read(1)
+                            key = (fields[0], base_name_of(path))
+                            if key not in known:
+                                per = function_complexities(path, content.decode("utf-8", "replace")) if fields[1] == "blob" else None
+                                known[key] = max(per) if per else None
+                            found.append(known[key])
+                out = part.assign(max_ccn=pd.array(found, "Int32"))
+                yield out[out["max_ccn"].notna()]
+
+    ship(touches.sparkSession)
+    wanted = touches.where(text.is_code_path("path") & ~F.col("path").contains("\n")).select("repo", "sha", "path").distinct()
+    return wanted.repartition(parallel, "sha").mapInPandas(run, "repo string, sha string, path string, max_ccn int")
+
+
+def base_name_of(path: str) -> str:
+    return path.rsplit("/", 1)[-1]
+
+
 def blame_inducing(fixes: DataFrame, parallel: int = 64) -> DataFrame:
     """(fix_sha, path, inducing_sha) from (repo, sha): commits that last changed the lines a fix deletes, by line blame against its parent."""
     import re

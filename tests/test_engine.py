@@ -121,5 +121,42 @@ def test_analysis_of_a_branch(spark, repo):
     per = {p["path"]: p for p in doc["blast_radius"]["per_file"]}
     assert per["app/main.py"]["direct"] == ["app/use.py"]
     assert analysis.analyse(spark, str(repo), "all")["scope"]["files_analyzed"] == 3
+    (repo / "app" / "util.py").write_text("import app.main\n")  # not committed: the working tree counts
+    doc = analysis.analyse(spark, str(repo), "diff")
+    assert [f["path"] for f in doc["files"]] == ["app/util.py"] and doc["blast_radius"]["graph"]["edges"] == 3 and doc["blast_radius"]["direct"] == ["app/use.py"]
+    run("checkout", "-q", "--", "app/util.py")
     (repo / "new.py").write_text("a = 1\nb = 2\n")
     assert [(f["path"], f["lines_added"]) for f in analysis.analyse(spark, str(repo), "diff")["files"]] == [("new.py", 2)]
+
+
+def test_model_takes_over(spark, repo, tmp_path):
+    """A saved model scores the change and each file on its own; one of other features is not used, and that is said."""
+    from churnlens.plans import analysis
+
+    rows = extras.training_rows(spark, SF)
+    saved = f"file://{tmp_path}/model"
+    model.save(model.fit(rows, 5, extras.CONFIG), saved, {"rows": 7, "trained_at": "now"})
+    doc = analysis.analyse(spark, str(repo), "all", saved=saved)
+    assert doc["scoring_method"] == "model" and doc["scope"]["model"]["rows"] == 7 and doc["warnings"] == []
+    assert doc["score"] == max(f["score"] for f in doc["files"]) == doc["files"][0]["score"]
+    assert all(r["rule"].startswith("model:") and r["detail"].startswith("value ") for r in doc["reasons"])
+    model.save(model.fit(rows, 5, extras.CONFIG), saved, {"features": ["other"]})
+    doc = analysis.analyse(spark, str(repo), "all", saved=saved)
+    assert doc["scoring_method"] == "rules" and len(doc["warnings"]) == 1
+
+
+def test_complexity_at_the_commit(spark, repo):
+    _, touches = gitlog.read_log(spark, str(repo))
+    got = gitlog.complexity_then(touches).collect()
+    assert got and {r["path"] for r in got} <= {"app/main.py", "app/use.py"} and all(r["max_ccn"] == 1 for r in got)
+    records = gitlog.read_records(spark, str(repo))
+    stats = gitlog.log_stats(records, max_commits=records.count()).first()
+    assert stats["skipped"] == 0 and stats["truncated"]
+
+
+def test_log_text_in_records(spark, repo, tmp_path):
+    (tmp_path / "log.txt").write_text(gitlog.git(str(repo), "log", "--no-merges", "--numstat", gitlog._FORMAT, "HEAD"))
+    commits, _ = gitlog.parse_log(gitlog.log_text(spark, str(tmp_path / "log.txt")))
+    ours, _ = gitlog.read_log(spark, str(repo))
+    order = lambda d: [(r["sha"], r["seq"]) for r in d.orderBy("seq").collect()]
+    assert order(commits) == order(ours)
