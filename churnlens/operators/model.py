@@ -123,8 +123,27 @@ def predict(rows: DataFrame, trees: Trees) -> DataFrame:
     return rows.mapInPandas(run, schema.replace(":", " "))
 
 
-def best_rounds(train: DataFrame, config: Training = Training(), grid: int = 1) -> int:
-    """Rounds with the best average precision on the newest slice of the training rows, every ``grid`` rounds, with patience."""
+#: Rounds of the first fit that looks for the best number; each further one doubles them.
+FIRST_ROUNDS = 64
+
+
+def _stop(curve: list[float], steps: list[int], patience: int) -> tuple[int, bool]:
+    """Rounds of the best value so far, and whether patience ran out within ``curve``."""
+    best, since = 0, 0
+    for at in range(1, len(curve)):
+        if curve[at] > curve[best]:
+            best, since = at, 0
+        elif (since := since + steps[at] - steps[at - 1]) >= patience:
+            return steps[best], True
+    return steps[best], False
+
+
+def best_rounds(train: DataFrame, config: Training = Training(), grid: int = 1, first: int = FIRST_ROUNDS) -> int:
+    """Rounds with the best average precision on the newest slice of the training rows, every ``grid`` rounds, with patience.
+
+    Rounds don't depend on later ones, so a fit of few rounds gives the curve of a longer one as far as it goes.
+    Fits start at ``first`` rounds and double until patience runs out or ``max_rounds`` is reached.
+    """
     ship(train.sparkSession)
     split = cut(metrics.time_split(train, config.holdout_fraction, "seq", "sha"))
     fitted, held = split.where("is_train"), split.where("NOT is_train")
@@ -132,8 +151,18 @@ def best_rounds(train: DataFrame, config: Training = Training(), grid: int = 1)
     both = lambda d: d.agg(F.count_distinct("label")).first()[0] == 2
     if small or not both(fitted) or not both(held):
         return config.max_rounds
-    trees = trees_of(train.sparkSession, fit(fitted, config.max_rounds, config))
-    steps = list(range(grid, len(trees.trees) + 1, grid)) or [len(trees.trees)]
+    rounds = min(max(first, grid), config.max_rounds)
+    while True:
+        trees = trees_of(train.sparkSession, fit(fitted, rounds, config))
+        steps = list(range(grid, len(trees.trees) + 1, grid)) or [len(trees.trees)]
+        best, done = _stop(_precision_curve(held, trees, steps), steps, config.patience)
+        if done or rounds == config.max_rounds:
+            return best
+        rounds = min(2 * rounds, config.max_rounds)
+
+
+def _precision_curve(held: DataFrame, trees: Trees, steps: list[int]) -> list[float]:
+    """Average precision on ``held`` after each number of rounds in ``steps``."""
 
     def run(frames):
         for frame in frames:
@@ -145,15 +174,7 @@ def best_rounds(train: DataFrame, config: Training = Training(), grid: int = 1)
     w = Window.partitionBy("rounds").orderBy(F.desc("score"))
     per = per.withColumns({"tp": F.sum("pos").over(w), "seen": F.sum("n").over(w), "all": F.sum("pos").over(Window.partitionBy("rounds"))})
     curve = per.groupBy("rounds").agg(F.sum(F.col("pos") / F.col("all") * F.col("tp") / F.col("seen")).alias("ap")).orderBy("rounds").collect()
-    best, since = curve[0], 0
-    for row in curve[1:]:
-        if row["ap"] > best["ap"]:
-            best, since = row, 0
-        else:
-            since += grid
-            if since >= config.patience:
-                break
-    return best["rounds"]
+    return [row["ap"] for row in curve]
 
 
 def train(rows: DataFrame, config: Training = Training()) -> tuple[GBTClassificationModel, Trees]:

@@ -53,6 +53,13 @@ def test_every_round_is_evaluated(spark):
     assert curve[model.best_rounds(rows, config) - 1] >= max(curve) - 1e-12
 
 
+def test_growing_fits_find_the_rounds_of_one_long_fit(spark):
+    rows = cut(extras.training_rows(spark, SF))
+    for patience in (2, 30):
+        config = Training(max_rounds=12, patience=patience)
+        assert model.best_rounds(rows, config, first=3) == model.best_rounds(rows, config, first=12)
+
+
 def test_registered_training_is_the_operators(spark, monkeypatch):
     seen = []
 
