@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import ship
@@ -97,6 +97,13 @@ PARSERS = {"python": Parser(python_imports, module_names, ("py", "pyi")), "java"
 #: Endings of the paths that any parser reads.
 PARSED = tuple(x for p in PARSERS.values() for x in p.suffixes)
 
+
+def parser_for(path) -> Column:
+    """Registry name of the parser that reads a path, by its ending; null where none does."""
+    ending = F.regexp_extract(path, r"\.([^./]*)$", 1)
+    return F.coalesce(*(F.when(ending.isin(*p.suffixes), name) for name, p in PARSERS.items()))
+
+
 _BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.comprehension, ast.Assert)
 _BRACE_BRANCH = re.compile(r"\b(?:if|for|while|case|catch)\b|&&|\|\||\?")
 _BRACE_FUNCTION = re.compile(r"\b[\w$]+\s*\([^;{}()]*\)\s*(?:throws[^{;]*|const\s*)?\{")

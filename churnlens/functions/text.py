@@ -48,7 +48,7 @@ def numstat_lines(body) -> Column:
 def commit_instant(text) -> Column:
     """The instant; a corrupt offset keeps the wall clock as UTC; null where even that can't be read."""
     text = col(text)
-    return F.coalesce(F.try_to_timestamp(text), F.try_to_timestamp(F.substring(text, 1, 19)))
+    return F.coalesce(F.try_to_timestamp(text), F.try_to_timestamp(F.concat(F.substring(text, 1, 19), F.lit("Z"))))
 
 
 def commit_wall_clock(text) -> Column:

@@ -96,3 +96,11 @@ def labelled(commits: DataFrame, induced: DataFrame) -> DataFrame:
     """Commits with label 1 where a later fix points back at them."""
     bad = induced.select(F.col("inducing_sha").alias("sha"), F.lit(1).alias("label")).distinct()
     return commits.join(bad, "sha", "left").withColumn("label", F.coalesce("label", F.lit(0)))
+
+
+def mining_summary(commits: DataFrame, induced: DataFrame) -> DataFrame:
+    """One row: commits, fixes, distinct inducing commits, and those of them that are among the commits (the positives)."""
+    bad = induced.select(F.col("inducing_sha").alias("sha")).distinct()
+    counts = commits.agg(F.count(F.lit(1)).alias("commits"), F.count_if("is_bugfix").alias("fixes"))
+    both = bad.join(commits.select("sha", F.lit(True).alias("known")), "sha", "left").agg(F.count(F.lit(1)).alias("inducing"), F.count_if("known").alias("positives"))
+    return counts.crossJoin(F.broadcast(both))  # one row each

@@ -6,7 +6,7 @@ import json
 import os
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import __version__
@@ -23,6 +23,21 @@ OWN = ".churnlens/"
 MODES = {"scan": "changes since the base branch", "diff": "uncommitted changes", "all": "every tracked file"}
 
 
+def described(mode) -> Column:
+    """The text of a mode; null for an unknown one."""
+    return F.element_at(F.create_map(*(F.lit(x) for pair in MODES.items() for x in pair)), F.col(mode) if isinstance(mode, str) else mode)
+
+
+def not_own(files: DataFrame) -> DataFrame:
+    """``files`` (path, ...) without our own."""
+    return files.where(~F.col("path").startswith(OWN))
+
+
+def known_paths(tracked: DataFrame, files: DataFrame) -> DataFrame:
+    """(path) of the tracked files and of those in scope, once each."""
+    return tracked.select("path").unionByName(files.select("path")).distinct()
+
+
 def _load(spark: SparkSession, kind: str, repo: str, **options) -> DataFrame:
     gitlog.register(spark)
     reader = spark.read.format(kind).option("path", repo)
@@ -78,7 +93,7 @@ def changed(spark: SparkSession, repo: str, mode: str, since: str | None = None)
         else:
             files = _load(spark, "gitfiles", repo).select(F.col("line").alias("path"), zero.alias("lines_added"), zero.alias("lines_deleted"))
         facts = {"author": author, "when": datetime.now().isoformat()[:19], "base_ref": None, "base_commit": None, "until": "HEAD"}
-    return files.where(~F.col("path").startswith(OWN)), facts | {"mode": mode, "description": MODES[mode]}
+    return not_own(files), facts | {"mode": mode, "description": MODES[mode]}
 
 
 def import_names(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -165,7 +180,7 @@ def analyse(spark: SparkSession, repo: str, mode: str = "scan", since: str | Non
         trees, facts = model.trees_of(spark, found[0]), found[1]
     known = history.file_history(touches).select("path", F.col("total_commits").alias("prior_commits"), F.col("bugfix_commits").alias("prior_fixes"))
     mine = history.author_history(touches.where(F.col("author") == scope["author"])).select("path", F.col("author_commits").alias("prior_by_author"))
-    tracked = _load(spark, "gitfiles", repo).select(F.col("line").alias("path")).unionByName(files.select("path")).distinct()
+    tracked = known_paths(_load(spark, "gitfiles", repo).withColumnRenamed("line", "path"), files)
     sources = sources_of(spark, repo, mode, settings)
     ccn = source_code.complexity(sources).select("path", "max_ccn")
     zero = F.lit(0).cast("long")

@@ -325,11 +325,12 @@ def inducing_intersect(spark, sf):
     return adapter.commits(spark, sf).where("is_bugfix").select("sha").intersect(adapter.touches(spark, sf).where(F.col("path").startswith("tests/")).select("sha"))
 
 
-@query()
+@query("""SELECT k * 3 + shift AS pos, 'r' || k || '/' || old || '.py' AS path, 'r' || k || '/' || CASE WHEN shift < 0 OR (shift = 500 AND old = 'c') THEN old ELSE 'b' END || '.py' AS canonical
+  FROM (SELECT p_partkey AS k FROM part), unnest([-1, 500, 1500, 2500]) AS t(shift), unnest(['a', 'b', 'c']) AS u(old)""")
 def rename_asof(spark, sf):
-    """Iterated as-of lookups; checked against a direct walk of the log in the tests."""
-    part = adapter.table(spark, sf, "part")
-    named = part.select((F.col("p_partkey") * 3 + 1500).alias("pos"), F.explode(F.array(*(F.concat(F.lit("r"), F.col("p_partkey").cast("string"), F.lit(s)) for s in ("/a.py", "/b.py", "/c.py")))).alias("path"))
+    """Iterated as-of lookups before, between and after a part's renames; the SQL states the expected names, and the tests walk the log."""
+    part = adapter.table(spark, sf, "part").withColumn("at", F.explode(F.array(*map(F.lit, (-1, 500, 1500, 2500)))))
+    named = part.select((F.col("p_partkey") * 3 + F.col("at")).alias("pos"), F.explode(F.array(*(F.concat(F.lit("r"), F.col("p_partkey").cast("string"), F.lit(s)) for s in ("/a.py", "/b.py", "/c.py")))).alias("path"))
     return renames.canonical_paths(named, adapter.renames(spark, sf))
 
 
@@ -344,10 +345,12 @@ def rename_notation(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import extras
+    from . import extras, log_queries  # noqa: F401  the latter adds its queries to QUERIES
 
     return QUERIES | extras.queries()
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import log_queries  # noqa: F401  adds its SQL to ORACLES
+
     return dict(ORACLES)

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Training
-from ..functions import source_code
 from ..operators import features, history, model, rules
 from ..sources import adapter
 from . import payload
@@ -39,20 +38,6 @@ def shap_topk(spark, sf):
     return model.contributions(rows, trees).drop("value")
 
 
-def _sources(spark, sf):
-    text = F.expr("""concat('import os, pkg', p_partkey % 7, '.m', p_partkey % 5, '\nfrom . import sibling', p_partkey % 3, '\nfrom ..top import *\n',
-      if(p_partkey % 13 = 0, 'def broken(:', 'def f(x):\n    if x and x > 1:\n        return [y for y in x if y]\n    return 0\n'))""")
-    return adapter.table(spark, sf, "part").select(F.expr("concat('pkg', p_partkey % 25, '/sub/m', p_partkey, '.py')").alias("path"), text.alias("source"))
-
-
-def python_imports(spark, sf):
-    return source_code.python_imports(_sources(spark, sf))
-
-
-def file_complexity(spark, sf):
-    return source_code.complexity(_sources(spark, sf))
-
-
 def payload_json(spark, sf):
     from .catalogue import scored_files
 
@@ -60,4 +45,4 @@ def payload_json(spark, sf):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (gbt_scores, shap_topk, python_imports, file_complexity, payload_json)}
+    return {f.__name__: f for f in (gbt_scores, shap_topk, payload_json)}
