@@ -1,7 +1,7 @@
 """A gradient-boosted model of the feature vector: training, early stopping on average precision, contributions, storage.
 
 Trees are read from the stored form of a fitted model (a few nodes each, so they fit anywhere) and
-applied to rows in Arrow batches: margins of every prefix of the ensemble, and exact Shapley values
+applied to rows in Arrow batches for margins of every prefix of the ensemble and exact Shapley values
 with the path-dependent value function. The model's log-odds are twice its margin.
 """
 
@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -110,17 +111,10 @@ def _matrix(frame: pd.DataFrame) -> np.ndarray:
     return frame[NAMES].to_numpy(np.float64)
 
 
-def predict(rows: DataFrame, trees: Trees) -> DataFrame:
-    """Adds ``probability``."""
-    ship(rows.sparkSession)
-    schema = rows.schema.simpleString()[len("struct<") : -1] + ",probability:double"
-
-    def run(frames):
-        for frame in frames:
-            margin = trees.outputs(_matrix(frame)).sum(1)
-            yield frame.assign(probability=1 / (1 + np.exp(-2 * margin)))
-
-    return rows.mapInPandas(run, schema.replace(":", " "))
+def predict(rows: DataFrame, fitted: GBTClassificationModel) -> DataFrame:
+    """Adds ``probability``, in the JVM."""
+    scored = fitted.transform(assemble(rows))
+    return scored.select(*rows.columns, vector_to_array("probability")[1].alias("probability"))
 
 
 #: Rounds of the first fit that looks for the best number; each further one doubles them.
@@ -215,8 +209,8 @@ def evaluate(rows: DataFrame, config: Training = Training()) -> dict:
     by = {r["is_train"]: r for r in counts}
     if sum(r["n"] for r in counts) < 4 or not by.get(True) or not by[True]["p"]:
         raise ValueError("too few rows, or no positive one, to evaluate")
-    _, trees = train(fitted, config)
-    scored = cut(predict(held, trees).select("label", F.col("probability").alias("score"), "lines_changed"))
+    fit_model, _ = train(fitted, config)
+    scored = cut(predict(held, fit_model).select("label", F.col("probability").alias("score"), "lines_changed"))
     base = scored.select("label", F.col("lines_changed").alias("score"))
     value = lambda f, d: f(d).first()[0]
     out = {"roc_auc": value(metrics.roc_auc, scored), "pr_auc": value(metrics.pr_auc, scored), "baseline_roc_auc": value(metrics.roc_auc, base), "baseline_pr_auc": value(metrics.pr_auc, base)}

@@ -6,6 +6,7 @@ import json
 import os
 from datetime import datetime
 
+from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,17 +132,17 @@ def sources_of(spark: SparkSession, repo: str, mode: str, settings: Settings) ->
     return readable.orderBy("path").limit(settings.blast.max_files)
 
 
-def scored_by_model(wide: DataFrame, trees: model.Trees, whole: bool, settings: Settings) -> dict:
+def scored_by_model(wide: DataFrame, fitted: GBTClassificationModel, trees: model.Trees, whole: bool, settings: Settings) -> dict:
     """Score, band, reasons, files and recommendation by a model.
 
     A file's score is that of a change of this file alone; without ``whole`` the worst file's is the headline.
     """
     single = cut(features.feature_vector(wide.withColumn("sha", F.col("path"))))
-    probable = model.as_scores(model.predict(single, trees), settings.weights).select(F.col("sha").alias("path"), "probability", "score", "band")
+    probable = model.as_scores(model.predict(single, fitted), settings.weights).select(F.col("sha").alias("path"), "probability", "score", "band")
     top = model.contributions(single, trees, most=1).select(F.col("sha").alias("path"), F.struct(*_MODEL_REASON).alias("top"))
     listed = wide.select("path", "lines_added", "lines_deleted").join(probable, "path").join(top, "path", "left").orderBy(F.desc("probability"), "path").collect()
     vector = features.feature_vector(wide) if whole else single.where(F.col("sha") == listed[0]["path"])
-    head = model.as_scores(model.predict(vector, trees), settings.weights).first()
+    head = model.as_scores(model.predict(vector, fitted), settings.weights).first()
     reasons = [_told(r) for r in model.contributions(vector, trees, most=settings.training.top_contributions).orderBy("place").select(*_MODEL_REASON).collect()]
     hints = list(dict.fromkeys(rules.HINTS[r["rule"]] for r in reasons if r["rule"] in rules.HINTS))[:2]
     advice = rules.HEADLINES[head["band"]] + (f" Suggested: {'; '.join(hints)}." if hints else "")
@@ -203,7 +204,7 @@ def analyse(spark: SparkSession, repo: str, mode: str = "scan", since: str | Non
     doc["scope"] = known_scope | {"files_analyzed": doc["scope"]["files_analyzed"]}
     doc["warnings"] = warnings
     if trees is not None:
-        doc |= scored_by_model(wide, trees, mode != "all", settings)
+        doc |= scored_by_model(wide, found[0], trees, mode != "all", settings)
         doc["scope"]["model"] = {k: facts.get(k) for k in ("trained_at", "rows", "positives", "commits_considered")}
     if settings.blast.enabled:
         edges = import_edges(sources)

@@ -26,8 +26,8 @@ def gbt_scores(spark, sf):
     from .storage import cut
 
     split = cut(time_split(training_rows(spark, sf), CONFIG.train_fraction, "seq", "sha"))
-    _, trees = model.train(split.where("is_train").drop("is_train"), CONFIG)
-    return model.as_scores(model.predict(split.where("NOT is_train").drop("is_train"), trees)).select("sha", "label", "probability", "score", "band")
+    fitted, _ = model.train(split.where("is_train").drop("is_train"), CONFIG)
+    return model.as_scores(model.predict(split.where("NOT is_train").drop("is_train"), fitted)).select("sha", "label", "probability", "score", "band")
 
 
 def shap_topk(spark, sf):
