@@ -131,10 +131,12 @@ def embedding_groups(
     """Per row: vec_id, n_links (other vectors linked directly), component_id, kept (one of each group)."""
     spark = vectors.sparkSession
     ship(spark)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
+    # Single precision stays single in storage and shuffles, which halves them; products are of doubles all the same.
+    kind = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast(f"array<{kind}>").alias("vector"))
     rows = rows.withColumn("ok", F.col("label").isNotNull() & F.coalesce(usable(F.col("vector")), F.lit(False)))
     # Copies are told by 128 bits of their components; -0.0 + 0.0 is 0.0.
-    plain = F.transform("vector", lambda x: x + F.lit(0.0))
+    plain = F.transform("vector", lambda x: x.cast("double") + F.lit(0.0))
     rows = rows.withColumns({"h1": F.xxhash64(F.lit(1), plain), "h2": F.xxhash64(F.lit(2), plain)})
     rows = stored(rows, "vectors")
     points = rows.where("ok").groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("weight"), F.max("vector").alias("vector"))
@@ -149,7 +151,7 @@ def embedding_groups(
         k = int(min(MOST_CELLS, max(1, -(-total // (labels * cell_points))), len(fitted)))
         label_type = points.schema["label"].dataType.simpleString()
         placed = points.select("point", "label", "weight", "vector").mapInArrow(
-            _assign(spherical_kmeans(fitted, k), margin, threshold), f"point long, label {label_type}, weight long, vector array<double>, cell long, home boolean"
+            _assign(spherical_kmeans(fitted, k), margin, threshold), f"point long, label {label_type}, weight long, vector array<{kind}>, cell long, home boolean"
         )
         placed = stored(placed, "placed")
         sizes = placed.groupBy("label", "cell").agg(F.ceil(F.count_if("home") / block).cast("long").alias("left_blocks"), F.ceil(F.count(F.lit(1)) / block).cast("long").alias("right_blocks"))
