@@ -12,19 +12,19 @@ import json
 import math
 import uuid
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..config import RiskWeights, Training
 from ..plans.storage import cut, shared_dir, ship
-from . import metrics
+from . import boosting, metrics
 from .features import FEATURES
 
 NAMES = list(FEATURES)
@@ -39,40 +39,60 @@ class Trees:
 
     def outputs(self, x: np.ndarray) -> np.ndarray:
         """rows x trees weighted outputs."""
-        out = np.empty((len(x), len(self.trees)))
-        for t, (feature, threshold, left, right, value, _) in enumerate(self.trees):
-            at = np.zeros(len(x), int)
-            while (feature[at] >= 0).any():
-                inner = feature[at] >= 0
-                go = x[np.arange(len(x)), np.maximum(feature[at], 0)] <= threshold[at]
-                at = np.where(inner, np.where(go, left[at], right[at]), at)
-            out[:, t] = value[at] * self.weights[t]
+        out, columns = np.empty((len(x), len(self.trees))), np.ascontiguousarray(x.T)
+        for t, ((feature, threshold, left, right, value, _), weight) in enumerate(zip(self.trees, self.weights, strict=True)):
+            reached = {0: np.arange(len(x))}
+            for i in range(len(feature)):
+                rows = reached.pop(i)
+                if feature[i] < 0:
+                    out[rows, t] = value[i] * weight
+                else:
+                    go = columns[feature[i]][rows] <= threshold[i]
+                    reached[left[i]], reached[right[i]] = rows[go], rows[~go]
         return out
 
-    def contributions(self, x: np.ndarray) -> tuple[np.ndarray, float]:
-        """rows x features log-odds contributions and the base value; they add up to the row's log-odds."""
-        total, base = np.zeros(x.shape), 0.0
+    @cached_property
+    def shares(self) -> tuple[list[tuple], float]:
+        """(inner nodes, features, table of contributions by feature and by the sides taken at the inner nodes as bits) of each tree, and the base value."""
+        tables, base = [], 0.0
         for (feature, threshold, left, right, value, cover), weight in zip(self.trees, self.weights, strict=True):
+            inner = [int(i) for i in np.flatnonzero(feature >= 0)]
+            sides = np.arange(1 << len(inner))
+            goes_left = {i: (sides >> k & 1).astype(bool) for k, i in enumerate(inner)}
 
             def expected(node: int, known: frozenset) -> np.ndarray:
                 f = feature[node]
                 if f < 0:
-                    return np.full(len(x), value[node])
+                    return np.full(len(sides), value[node])
                 a, b = expected(left[node], known), expected(right[node], known)
                 if f in known:
-                    return np.where(x[:, f] <= threshold[node], a, b)
+                    return np.where(goes_left[node], a, b)
                 return (cover[left[node]] * a + cover[right[node]] * b) / cover[node]
 
-            used = sorted({int(f) for f in feature if f >= 0})
+            used = sorted({int(feature[i]) for i in inner})
             n = len(used)
             v = {s: expected(0, s) for k in range(n + 1) for s in map(frozenset, itertools.combinations(used, k))}
-            base += 2 * weight * float(v[frozenset()][0]) if len(x) else 0.0
-            for f in used:
+            base += 2 * weight * float(v[frozenset()][0])
+            table = np.zeros((n, len(sides)))
+            for j, f in enumerate(used):
                 for s, y in v.items():
                     if f not in s:
                         share = math.factorial(len(s)) * math.factorial(n - len(s) - 1) / math.factorial(n)
-                        total[:, f] += 2 * weight * share * (v[s | {f}] - y)
-        return total, base
+                        table[j] += 2 * weight * share * (v[s | {f}] - y)
+            tables.append(([(int(feature[i]), float(threshold[i])) for i in inner], used, table))
+        return tables, base
+
+    def contributions(self, x: np.ndarray) -> tuple[np.ndarray, float]:
+        """rows x features log-odds contributions and the base value; they add up to the row's log-odds."""
+        tables, base = self.shares
+        total, columns = np.zeros(x.shape[::-1]), np.ascontiguousarray(x.T)
+        for inner, used, table in tables:
+            sides = np.zeros(len(x), np.intp)
+            for k, (f, threshold) in enumerate(inner):
+                sides += (columns[f] <= threshold).astype(np.intp) << k
+            for j, f in enumerate(used):
+                total[f] += table[j][sides]
+        return total.T, base if len(x) else 0.0
 
     def first(self, rounds: int) -> Trees:
         return Trees(self.trees[:rounds], self.weights[:rounds])
@@ -82,14 +102,25 @@ def assemble(rows: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=NAMES, outputCol="features").transform(rows)
 
 
-def fit(rows: DataFrame, rounds: int, config: Training = Training()) -> GBTClassificationModel:
-    """``rows``: the features and a 0/1 label; positives weigh max(1, negatives / positives)."""
+def weight_of(rows: DataFrame) -> float:
+    """Weight of a positive row: max(1, negatives / positives)."""
     weight = metrics.class_weight(rows).first()[0]
     if weight is None:
         raise ValueError("no positive example to train on")
-    weighted = assemble(rows).withColumn("weight", F.when(F.col("label") == 1, F.lit(weight)).otherwise(1.0)).withColumn("label", F.col("label").cast("double"))
-    gbt = GBTClassifier(maxIter=rounds, maxDepth=config.depth, stepSize=config.step, minInstancesPerNode=config.min_leaf, weightCol="weight", seed=config.seed)
-    return gbt.fit(weighted.select("features", "label", "weight"))
+    return weight
+
+
+def _grown(rows: DataFrame, rounds: int, config: Training) -> list:
+    return boosting.grow(rows, NAMES, rounds, weight_of(rows), config, boosting.borders(rows, NAMES))
+
+
+def _as_trees(grown: list, config: Training) -> Trees:
+    return Trees([boosting.as_arrays(nodes) for nodes in grown], [1.0] + [config.step] * (len(grown) - 1))
+
+
+def fit(rows: DataFrame, rounds: int, config: Training = Training()) -> GBTClassificationModel:
+    """``rows``: the features and a 0/1 label; positives weigh max(1, negatives / positives)."""
+    return boosting.as_model(rows.sparkSession, _grown(rows, rounds, config), len(NAMES), config.step)
 
 
 def trees_of(spark: SparkSession, model: GBTClassificationModel) -> Trees:
@@ -117,7 +148,7 @@ def predict(rows: DataFrame, fitted: GBTClassificationModel) -> DataFrame:
     return scored.select(*rows.columns, vector_to_array("probability")[1].alias("probability"))
 
 
-#: Rounds of the first fit that looks for the best number; each further one doubles them.
+#: Rounds that are grown before precision is looked at again.
 FIRST_ROUNDS = 64
 
 
@@ -135,8 +166,7 @@ def _stop(curve: list[float], steps: list[int], patience: int) -> tuple[int, boo
 def best_rounds(train: DataFrame, config: Training = Training(), grid: int = 1, first: int = FIRST_ROUNDS) -> int:
     """Rounds with the best average precision on the newest slice of the training rows, every ``grid`` rounds, with patience.
 
-    Rounds don't depend on later ones, so a fit of few rounds gives the curve of a longer one as far as it goes.
-    Fits start at ``first`` rounds and double until patience runs out or ``max_rounds`` is reached.
+    Trees are grown ``first`` at a time, each lot on top of those before it, until patience runs out or ``max_rounds`` is reached.
     """
     ship(train.sparkSession)
     split = cut(metrics.time_split(train, config.holdout_fraction, "seq", "sha"))
@@ -145,53 +175,62 @@ def best_rounds(train: DataFrame, config: Training = Training(), grid: int = 1,
     both = lambda d: d.agg(F.count_distinct("label")).first()[0] == 2
     if small or not both(fitted) or not both(held):
         return config.max_rounds
-    rounds = min(max(first, grid), config.max_rounds)
+    weight, cuts, grown, curve = weight_of(fitted), boosting.borders(fitted, NAMES), [], []
     while True:
-        trees = trees_of(train.sparkSession, fit(fitted, rounds, config))
-        steps = list(range(grid, len(trees.trees) + 1, grid)) or [len(trees.trees)]
-        best, done = _stop(_precision_curve(held, trees, steps), steps, config.patience)
+        rounds = min(len(grown) + max(first, grid), config.max_rounds)
+        grown = boosting.grow(fitted, NAMES, rounds, weight, config, cuts, grown)
+        steps = list(range(grid, rounds + 1, grid)) or [rounds]
+        curve += _precision_curve(held, _as_trees(grown, config), steps[len(curve) :])
+        best, done = _stop(curve, steps, config.patience)
         if done or rounds == config.max_rounds:
             return best
-        rounds = min(2 * rounds, config.max_rounds)
 
 
 def _precision_curve(held: DataFrame, trees: Trees, steps: list[int]) -> list[float]:
-    """Average precision on ``held`` after each number of rounds in ``steps``."""
+    """Average precision on ``held`` after each number of rounds in ``steps``; a task ranks the rows once for each."""
 
     def run(frames):
         for frame in frames:
-            sums = np.cumsum(trees.outputs(_matrix(frame)), axis=1)[:, [s - 1 for s in steps]]
-            yield pd.DataFrame({"label": np.repeat(frame["label"].to_numpy(), len(steps)), "rounds": np.tile(steps, len(frame)), "score": sums.reshape(-1)})
-
-    scored = held.mapInPandas(run, "label int, rounds int, score double")
-    per = scored.groupBy("rounds", "score").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"))
-    w = Window.partitionBy("rounds").orderBy(F.desc("score"))
-    per = per.withColumns({"tp": F.sum("pos").over(w), "seen": F.sum("n").over(w), "all": F.sum("pos").over(Window.partitionBy("rounds"))})
-    curve = per.groupBy("rounds").agg(F.sum(F.col("pos") / F.col("all") * F.col("tp") / F.col("seen")).alias("ap")).orderBy("rounds").collect()
+            sums = np.cumsum(trees.outputs(_matrix(frame)), axis=1)
+            label = frame["label"].to_numpy().astype(np.int8).tobytes()
+            yield pd.DataFrame({"rounds": steps, "score": [sums[:, s - 1].tobytes() for s in steps], "label": [label] * len(steps)})
+
+    def precision(frame):
+        score = np.concatenate([np.frombuffer(b) for b in frame["score"]])
+        label = np.concatenate([np.frombuffer(b, np.int8) for b in frame["label"]])
+        order = np.argsort(-score)
+        last = np.append(np.flatnonzero(np.diff(score[order])), len(order) - 1)  # of each distinct score
+        tp = np.cumsum(label[order], dtype=np.int64)[last]
+        gained = np.diff(tp, prepend=0)
+        return pd.DataFrame({"rounds": frame["rounds"].iloc[:1], "ap": [float(np.sum(gained / tp[-1] * tp / (last + 1)))]})
+
+    scored = held.select(*NAMES, "label").mapInPandas(run, "rounds int, score binary, label binary")
+    curve = scored.groupBy("rounds").applyInPandas(precision, "rounds int, ap double").orderBy("rounds").collect()
     return [row["ap"] for row in curve]
 
 
 def train(rows: DataFrame, config: Training = Training()) -> tuple[GBTClassificationModel, Trees]:
     """Early stopping inside the rows, then a fit on all of them."""
-    model = fit(rows, best_rounds(rows, config), config)
-    return model, trees_of(rows.sparkSession, model)
+    grown = _grown(rows, best_rounds(rows, config), config)
+    return boosting.as_model(rows.sparkSession, grown, len(NAMES), config.step), _as_trees(grown, config)
 
 
 def contributions(rows: DataFrame, trees: Trees, key: str = "sha", most: int = Training.top_contributions) -> DataFrame:
     """(key, place, feature, impact, value): the features that move a row's log-odds most, none of zero."""
     ship(rows.sparkSession)
+    trees.shares  # noqa: B018  once, here, instead of in every task
+    names = np.array(NAMES, dtype=object)
 
     def run(frames):
         for frame in frames:
             values = _matrix(frame)
             impact, _ = trees.contributions(values)
-            out = []
-            for k, row, value in zip(frame[key], impact, values, strict=True):
-                order = [i for i in np.argsort(-np.abs(row), kind="stable")[:most] if row[i] != 0]
-                out += [(k, place + 1, NAMES[i], float(row[i]), float(value[i])) for place, i in enumerate(order)]
-            yield pd.DataFrame(out, columns=[key, "place", "feature", "impact", "value"])
+            order = np.argsort(-np.abs(impact), axis=1, kind="stable")[:, :most]
+            row, place = np.nonzero(np.take_along_axis(impact, order, axis=1))
+            feature = order[row, place]
+            yield pd.DataFrame({key: frame[key].to_numpy()[row], "place": place + 1, "feature": names[feature], "impact": impact[row, feature], "value": values[row, feature]})
 
-    return rows.mapInPandas(run, f"{key} string, place int, feature string, impact double, value double")
+    return rows.select(key, *NAMES).mapInPandas(run, f"{key} string, place int, feature string, impact double, value double")
 
 
 def as_scores(predicted: DataFrame, w: RiskWeights = RiskWeights()) -> DataFrame:

@@ -25,7 +25,8 @@ def gbt_scores(spark, sf):
     from ..operators.metrics import time_split
     from .storage import cut
 
-    split = cut(time_split(training_rows(spark, sf), CONFIG.train_fraction, "seq", "sha"))
+    # Cut first: the split reads its rows three times.
+    split = cut(time_split(cut(training_rows(spark, sf)), CONFIG.train_fraction, "seq", "sha"))
     fitted, _ = model.train(split.where("is_train").drop("is_train"), CONFIG)
     return model.as_scores(model.predict(split.where("NOT is_train").drop("is_train"), fitted)).select("sha", "label", "probability", "score", "band")
 
