@@ -4,53 +4,84 @@ The log is walked newest first. A rename ``old => new`` at line ``pos`` says tha
 ``pos``) that name ``old`` mean ``new``, unless a rename nearer to them says otherwise. So a name is
 looked up among the renames before its line, the nearest one wins, and its target is followed from
 there; arriving at a name met before ends the chase there.
+
+Names that renames link, directly or over others, form a family, and families say nothing about each other. So the log
+is walked family by family, each in order, by as many tasks as there are partitions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from ..plans.storage import ship, written
 
-from ..plans.storage import cut, ship
 
+def families(links: DataFrame) -> DataFrame:
+    """(_name, _family) of ``links`` (a, b), both longs: the least name of a connected group, by alternating large and small stars."""
 
-def _fold(rows):
-    """Targets as they stood when their rename was met, newest first: one pass over one repository's renames."""
-    today: dict[str, str] = {}
-    targets = []
-    for old, new in rows.sort_values("pos", kind="stable")[["old_path", "new_path"]].itertuples(index=False):
-        met = set()
-        while new in today and new not in met:
-            met.add(new)
-            new = today[new]
-        today[old] = new
-        targets.append(new)
-    return rows.sort_values("pos", kind="stable").assign(new_path=targets)
+    def star(edges: DataFrame, keep) -> DataFrame:
+        least = F.least(F.min("b").over(Window.partitionBy("a")), F.col("a"))
+        return edges.withColumn("least", least).where(keep)
 
+    edges, before = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links"), None
+    while True:
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == before:
+            return edges.select(F.col("a").alias("_name"), F.col("b").alias("_family")).unionByName(edges.select(F.col("b").alias("_name"), F.col("b").alias("_family")).distinct())
+        before = now
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        large = star(both, "b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))  # what is greater than a goes to the least
+        small = star(large, "true").select(F.explode(F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("e"))
+        edges = written(small.select("e.*").where("a <> b").distinct(), "links")
 
-def folded(renames: DataFrame, *repo: str) -> DataFrame:
-    """(repo..., pos, old_path, new_path): renames are few; a repository's are folded in order in one task."""
-    ship(renames.sparkSession)
-    rows = renames.select(*repo, F.lit(0).alias("_one"), "pos", "old_path", "new_path")
-    return rows.groupBy("_one", *repo).applyInPandas(_fold, rows.schema).drop("_one")
+
+def _follow(today: dict, name, met: set):
+    while name in today and name not in met:
+        met.add(name)
+        name = today[name]
+    return name
 
 
 def canonical_paths(touches: DataFrame, renames: DataFrame, *repo: str) -> DataFrame:
-    """``touches`` (repo..., pos, path, ...) with ``canonical``: an as-of join on the names, repeated until no name changes.
+    """``touches`` (repo..., pos, path, ...) with ``canonical``: the name as the renames before its line have it.
 
-    ``repo`` names the columns that tell repositories apart: names of one say nothing about another.
-    A row goes on from the targets of renames as they stood at its own line, so ``pos`` stays the
-    touch's. Only distinct (repo, pos, path) rows are chased; a row ends at a name without a rename
-    or met before, so the rounds end.
+    ``repo`` names the columns that tell repositories apart: names of one say nothing about another. A task walks a
+    family's renames and touches by line and holds that family's names only. A touch of a name that no rename has, or
+    without a line, keeps its name.
     """
-    key = [*repo, "pos", "path"]
-    alias = cut(folded(renames, *repo).select(*repo, F.col("old_path").alias("name"), F.col("pos").alias("at"), "new_path"))
-    state = cut(touches.select(*key).distinct().withColumns({"name": F.col("path"), "met": F.array("path"), "open": F.lit(True)}))
-    while not state.where("open").isEmpty():
-        near = state.where("open").join(alias, [*repo, "name"]).where("at < pos")
-        near = near.groupBy(*key).agg(F.max_by("new_path", "at").alias("next"))
-        moving = state.where("open").join(near, key, "left")
-        going = F.coalesce(~F.array_contains("met", F.col("next")), F.lit(False))
-        stepped = moving.select(*key, F.coalesce("next", "name").alias("name"), F.when(going, F.array_append("met", F.col("next"))).otherwise(F.col("met")).alias("met"), going.alias("open"))
-        state = cut(state.where("NOT open").unionByName(stepped))
-    return touches.join(state.select(*key, F.col("name").alias("canonical")), key)
+    ship(touches.sparkSession)
+    own, schema = touches.columns, touches.schema
+    code = lambda c: F.xxhash64(*repo, c)
+    known = renames.select(*repo, "pos", "old_path", "new_path").dropna()
+    family = families(known.select(code("old_path").alias("a"), code("new_path").alias("b")))
+    walked = known.withColumn("_name", code("old_path")).join(family, "_name").select("_family", *repo, "pos", F.lit(1).alias("_kind"), F.col("old_path").alias("_old"), F.col("new_path").alias("_new"))
+    placed = touches.withColumn("_name", F.when(F.col("pos").isNotNull(), code("path"))).join(family, "_name", "left")
+    # Names without a rename are no one's family; they are dealt evenly.
+    placed = placed.withColumn("_family", F.coalesce("_family", F.xxhash64("pos", "path")))
+    rows = placed.select("_family", *own, F.lit(0).alias("_kind"), F.lit(None).cast("string").alias("_old"), F.lit(None).cast("string").alias("_new"))
+    # At a line of its own a rename says nothing yet: touches come first.
+    rows = rows.unionByName(walked, allowMissingColumns=True).repartition("_family").sortWithinPartitions("_family", "pos", "_kind", "_old", "_new")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, today = None, {}
+        for batch in batches:
+            plain = lambda c: batch.column(c).to_pylist()  # noqa: B023, E731
+            out, repos = [], list(zip(*map(plain, repo), strict=True)) if repo else [()] * batch.num_rows
+            for of, kind, path, old, new, where in zip(*map(plain, ("_family", "_kind", "path", "_old", "_new")), repos, strict=True):
+                if of != current:
+                    current, today = of, {}
+                if kind:
+                    today[where, old] = _follow(today, (where, new), set())
+                else:
+                    out.append(_follow(today, (where, path), set())[1])
+            some = batch.filter(pc.equal(batch.column("_kind"), 0))
+            yield pa.RecordBatch.from_arrays([*(some.column(c) for c in own), pa.array(out, pa.string())], names=[*own, "canonical"])
+
+    return rows.mapInArrow(run, T.StructType([*schema.fields, T.StructField("canonical", T.StringType())]))
