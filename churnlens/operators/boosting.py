@@ -29,6 +29,8 @@ BINS, BORDER_ROWS = 32, 100_000
 UNIT, PAIR = 2.0**20, 2.0**26
 #: Bins of features that are counted together.
 JOINT = 1 << 15
+#: Rows that are counted, or whose residuals are made, at once: what is made on the way stays small.
+BLOCK = 1 << 18
 DIGITS = 9
 
 
@@ -137,14 +139,19 @@ class _Rows:
     def count(self, rows: np.ndarray | None, *weights: np.ndarray) -> np.ndarray:
         """weights x all bins of all features: sums over ``rows``."""
         out = np.empty((len(weights), self.starts[-1]))
-        taken = [w if rows is None else w[rows] for w in weights]
-        for index, group in zip(self.index, self.groups, strict=True):
-            at = (index if rows is None else index[rows]).astype(np.intp)
-            shape = [self.sizes[f] for f in group]
-            for k, weight in enumerate(taken):
-                joint = np.bincount(at, weight, int(np.prod(shape))).reshape(shape)
-                for i, f in enumerate(group):
-                    out[k, self.starts[f] : self.starts[f + 1]] = joint.sum(axis=tuple(j for j in range(len(group)) if j != i))
+        shapes = [[self.sizes[f] for f in group] for group in self.groups]
+        joints = [np.zeros((len(weights), int(np.prod(shape)))) for shape in shapes]
+        n = len(self.index[0]) if rows is None else len(rows)
+        for low in range(0, n, BLOCK):
+            some = slice(low, low + BLOCK) if rows is None else rows[low : low + BLOCK]
+            taken = [w[some] for w in weights]
+            for index, joint in zip(self.index, joints, strict=True):
+                at = index[some].astype(np.intp)
+                for k, weight in enumerate(taken):
+                    joint[k] += np.bincount(at, weight, joint.shape[1])
+        for group, shape, joint in zip(self.groups, shapes, joints, strict=True):
+            for i, f in enumerate(group):
+                out[:, self.starts[f] : self.starts[f + 1]] = joint.reshape(-1, *shape).sum(axis=tuple(j + 1 for j in range(len(group)) if j != i))
         return out
 
     def left(self, rows: np.ndarray | None, feature: int, last: int) -> np.ndarray:
@@ -186,7 +193,7 @@ def _tree(data: _Rows, residual: np.ndarray, counts: np.ndarray, root: np.ndarra
             _, f, last = found
             low = hist[1:, data.starts[f] : data.starts[f] + last + 1].sum()
             left = data.left(rows, f, last)
-            sides = [np.flatnonzero(left), np.flatnonzero(~left)] if rows is None else [rows[left], rows[~left]]
+            sides = [np.flatnonzero(left).astype(np.int32), np.flatnonzero(~left).astype(np.int32)] if rows is None else [rows[left], rows[~left]]
             few = 0 if 2 * low <= pos + neg else 1
             parents.append((node, sides, few, hist))
             if 2 * node < 1 << config.depth:
@@ -237,12 +244,12 @@ def grow(rows: DataFrame, names: list[str], rounds: int, weight: float, config:
         positive = np.concatenate(labels) if labels else np.empty(0, bool)
         context = BarrierTaskContext.get()
         add = _Sum(context)
-        sign, counts, scale = np.where(positive, 1.0, -1.0), np.where(positive, PAIR, 1.0), np.where(positive, weight, 1.0) * UNIT
+        counts = np.where(positive, PAIR, 1.0)
         both = data.count(None, counts)[0]
         root = add(np.stack([both // PAIR, both % PAIR]))
-        margin, trees = np.zeros(len(sign)), list(before)
+        margin, residual, trees = np.zeros(len(counts)), np.empty(len(counts)), list(before)
         for t, nodes in enumerate(before):
-            reached = {0: np.arange(len(sign))}
+            reached = {0: np.arange(len(counts), dtype=np.int32)}
             for i, (_, f, threshold, left, right, value, _) in enumerate(nodes):
                 mine = reached.pop(i)
                 if f < 0:
@@ -251,8 +258,12 @@ def grow(rows: DataFrame, names: list[str], rounds: int, weight: float, config:
                     go = data.left(mine, f, int(np.searchsorted(cuts[f], threshold)))
                     reached[left], reached[right] = mine[go], mine[~go]
         while len(trees) < rounds:
-            aim = 4.0 * sign / (1.0 + np.exp(2.0 * sign * margin)) if trees else sign
-            nodes, leaves = _tree(data, np.rint(aim * scale) / UNIT, counts, root, add, weight, config)
+            for low in range(0, len(counts), BLOCK):
+                some = slice(low, low + BLOCK)
+                sign = np.where(positive[some], 1.0, -1.0)
+                aim = 4.0 * sign / (1.0 + np.exp(2.0 * sign * margin[some])) if trees else sign
+                residual[some] = np.rint(aim * (np.where(positive[some], weight, 1.0) * UNIT)) / UNIT
+            nodes, leaves = _tree(data, residual, counts, root, add, weight, config)
             for mine, value in leaves:
                 if mine is None:
                     margin += (config.step if trees else 1.0) * value

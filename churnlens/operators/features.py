@@ -20,15 +20,15 @@ FEATURES = {
 }
 
 
-def feature_vector(rows: DataFrame, key: str = "sha") -> DataFrame:
-    """``rows``: touches with prior_* counts and max_ccn (null: unknown); one aggregation per change."""
+def feature_vector(rows: DataFrame, *key: str) -> DataFrame:
+    """``rows``: touches with prior_* counts and max_ccn (null: unknown); one aggregation per change, by ``key`` (sha)."""
     known = F.col("prior_commits") > 0
     with_history = lambda c: F.when(known, c)
     zero = lambda c: F.coalesce(c, F.lit(0.0)).cast("double")
     owned = with_history(share("prior_by_author", "prior_commits"))
     one = lambda c: F.count_if(c).cast("double")
     when = F.first("when_local")
-    return rows.groupBy(key).agg(
+    return rows.groupBy(*(key or ("sha",))).agg(
         zero(F.sum("lines_added")).alias("lines_added"), zero(F.sum("lines_deleted")).alias("lines_deleted"),
         zero(F.sum(F.col("lines_added") + F.col("lines_deleted"))).alias("lines_changed"), F.count(F.lit(1)).cast("double").alias("files_changed"),
         F.count_distinct(text.folder("path")).cast("double").alias("folders_touched"),

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import RiskWeights, Training
-from ..plans.storage import cut, shared_dir, ship
+from ..plans.storage import cut, shared_dir, ship, swept, written
 from . import boosting, metrics
 from .features import FEATURES
 
@@ -169,7 +169,8 @@ def best_rounds(train: DataFrame, config: Training = Training(), grid: int = 1,
     Trees are grown ``first`` at a time, each lot on top of those before it, until patience runs out or ``max_rounds`` is reached.
     """
     ship(train.sparkSession)
-    split = cut(metrics.time_split(train, config.holdout_fraction, "seq", "sha"))
+    split = written(metrics.time_split(train, config.holdout_fraction, "seq", "sha"), "split")
+    swept(train.sparkSession)
     fitted, held = split.where("is_train"), split.where("NOT is_train")
     small = split.count() < 10
     both = lambda d: d.agg(F.count_distinct("label")).first()[0] == 2
@@ -181,6 +182,7 @@ def best_rounds(train: DataFrame, config: Training = Training(), grid: int = 1,
         grown = boosting.grow(fitted, NAMES, rounds, weight, config, cuts, grown)
         steps = list(range(grid, rounds + 1, grid)) or [rounds]
         curve += _precision_curve(held, _as_trees(grown, config), steps[len(curve) :])
+        swept(train.sparkSession)
         best, done = _stop(curve, steps, config.patience)
         if done or rounds == config.max_rounds:
             return best
